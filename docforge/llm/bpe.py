@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterator
 from pathlib import Path
@@ -155,8 +156,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return _mapped(encoded.select(F.col(id_col).alias("doc_id"), ids_col), vocabulary(encoded.sparkSession, path), pattern, ["content"], f"doc_id {kind}, content binary", make)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the bytes decoded from these ids).
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the bytes decoded from these ids); with_ids: ids, too.
 
     encode and decode in one pass, so that the ids of a corpus need not leave the workers. Nulls count as empty texts;
     rows that repeat give a row each; columns of other names are not read.
@@ -164,11 +165,18 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     kind = dict(docs.dtypes)[id_col]
 
     def make(codec: Codec, texts: pa.Array) -> list[pa.Array]:
-        rows = []
+        rows, kept = [], []
         for t in texts:
             ids = codec.encode(t.as_py() or "")
             rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
+            if with_ids:
+                kept.append(pa.array(ids, pa.int32()))
         n, ids, decoded = zip(*rows)
-        return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-
-    return _mapped(docs.select(F.col(id_col).alias("doc_id"), text_col), vocabulary(docs.sparkSession, path), pattern, ["n_tokens", "ids_sha256", "decoded_sha256"], f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
+        out = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+        if with_ids:
+            ends = pa.array([0, *itertools.accumulate(map(len, kept))], pa.int32())
+            out.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(kept)))
+        return out
+
+    names, schema = ["n_tokens", "ids_sha256", "decoded_sha256"], f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return _mapped(docs.select(F.col(id_col).alias("doc_id"), text_col), vocabulary(docs.sparkSession, path), pattern, names + ["ids"] * with_ids, schema + ", ids array<int>" * with_ids, make)

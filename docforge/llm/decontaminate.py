@@ -95,6 +95,33 @@ def _scanner(items: list[tuple[str, str]], size: int, key: int):
     return run
 
 
+def _cleaner(items: list[tuple[str, str]], size: int, key: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = automaton(key, items, size)
+        for batch in batches:
+            judged = (scan(t.as_py(), found) for t in batch.column(at))
+            yield batch.filter(pa.array([not (hit and 20 * hit >= n) for n, hit, *_ in judged], pa.bool_()))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's items, in as many blocks as its measured size asks for."""
+    known = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).filter("item is not null")
+    blocks = -(-(known.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // block_chars) or 1
+    for b in range(blocks):
+        yield [(r["item"], r["text"]) for r in (known if blocks == 1 else known.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)).collect()]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, all columns, that decontaminate doesn't call contaminated. With one block they need no shuffle."""
+    blocks = list(_blocks(benchmark, item_col, item_text, block_chars))
+    if len(blocks) == 1:
+        return docs.mapInArrow(_cleaner(blocks[0], size, hash((size, tuple(blocks[0]))), docs.columns.index(text_col)), docs.schema)
+    bad = decontaminate(docs, benchmark, id_col, text_col, item_col, item_text, size, block_chars).filter("contaminated").select(F.col("doc_id").alias("_bad"))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, items, spans, contaminated.
 
@@ -111,15 +138,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).filter("item is not null")
-    total = known.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = -(-total // block_chars) or 1
     parts = []
-    for b in range(blocks):
-        items = [(r["item"], r["text"]) for r in (known if blocks == 1 else known.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)).collect()]
-        parts.append(rows.mapInArrow(_scanner(items, size, hash((b, size, tuple(items)))), SCHEMA.format(id=kind)))
+    for items in _blocks(benchmark, item_col, item_text, block_chars):
+        parts.append(rows.mapInArrow(_scanner(items, size, hash((size, tuple(items)))), SCHEMA.format(id=kind)))
     out = parts[0]
-    if blocks > 1:
+    if len(parts) > 1:
         keyed = [p.select("doc_id", "n_words", "items", "spans", "hits", F.monotonically_increasing_id().alias("row")) for p in parts]
         # every block scans the same rows in the same order, so that the number of a row names it
         both = keyed[0]

@@ -82,6 +82,17 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     return langs, logs, np.log(docs_of / max(docs_of.sum(), 1))
 
 
+def judge(text: str | None, langs: list[str], priors: np.ndarray, by_bucket: np.ndarray) -> tuple[str, float]:
+    """Only the buckets that occur in the text are looked up in the matrix."""
+    if not langs or not text or not LETTER.search(text):
+        return "und", 0.0
+    counts = gram_counts(text)
+    used = np.flatnonzero(counts)
+    total = priors + counts[used] @ by_bucket[used]
+    total = np.exp(total - total.max())
+    return langs[int(total.argmax())], float(total.max() / total.sum())
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (the posterior probability) of each row's whole text.
 
@@ -95,18 +106,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id
         langs, logs, priors = shared.value
         by_bucket = np.ascontiguousarray(logs.T)
         for batch in batches:
-            best, score = [], []
-            for text in batch.column(1):
-                if not langs or not (text := text.as_py()) or not LETTER.search(text):
-                    best.append("und")
-                    score.append(0.0)
-                    continue
-                counts = gram_counts(text)
-                used = np.flatnonzero(counts)
-                total = priors + counts[used] @ by_bucket[used]
-                total = np.exp(total - total.max())
-                best.append(langs[int(total.argmax())])
-                score.append(float(total.max() / total.sum()))
+            best, score = zip(*(judge(text.as_py(), langs, priors, by_bucket) for text in batch.column(1))) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
@@ -122,3 +122,21 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = train(docs.filter(~held_out(id_col)), text_col, lang_col)
     out = predict(docs, model, id_col, text_col)
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, in whose text a learned language is recognised with a score of `least` or more.
+
+    Learned as in identify. Rows pass through the workers and need no shuffle.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~held_out(id_col)), text_col, lang_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, logs, priors = shared.value
+        by_bucket = np.ascontiguousarray(logs.T)
+        for batch in batches:
+            judged = (judge(text.as_py(), langs, priors, by_bucket) for text in batch.column(at))
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in judged], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid
+from . import bpe, decontaminate, exact_dedup, langid, near_dedup
 from .common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = item
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_language_id, op9_byte_bpe, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_exact_dedup, op4_language_id, op9_byte_bpe, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
