@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a worker remembers; the table starts anew beyond that.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 def byte_letters() -> list[str]:
@@ -74,6 +74,7 @@ class Codec:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary lacks the bytes {missing}")
         self.by_number = sorted(ranks.values())
+        self.dense = self.by_number == list(range(len(ranks)))
         self.whole = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
@@ -90,17 +91,23 @@ class Codec:
                 merged.append(part)
         if merged:
             letters = ["".join(map(AS_LETTERS.__getitem__, part.encode())) for part in merged]
-            for part, ids in zip(merged, self.pieces.encode(letters, out_type=int, num_threads=1)):
-                self.known[part] = tuple(self.by_number[i] for i in ids)
+            numbers = self.pieces.encode(letters, out_type=int, num_threads=1)
+            if not self.dense:
+                numbers = [map(self.by_number.__getitem__, x) for x in numbers]
+            self.known.update(zip(merged, map(tuple, numbers)))
 
     def encode(self, text: str) -> list[int]:
-        parts = self.split(text)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text; pre-tokens that are new to all of them are merged in one call."""
+        parts = list(map(self.split, texts))
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if new := set(parts).difference(self.known):
+        if new := set().union(*parts).difference(self.known):
             self.learn(new)
-        known = self.known
-        return [i for part in parts for i in known[part]]
+        for own in parts:
+            yield list(itertools.chain.from_iterable(map(self.known.__getitem__, own)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -125,6 +132,18 @@ def vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((ranks, model, hashlib.sha256(model).hexdigest()))
 
 
+def groups(texts: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
+    """Texts in groups of about so many characters; nulls as empty texts."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text := text.as_py() or "")
+        size += len(text)
+        if size >= chars:
+            yield group
+            group, size = [], 0
+    yield group
+
+
 def _mapped(df: DataFrame, vocab, pattern: str, columns: list[str], schema: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocab, pattern)
@@ -141,7 +160,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     kind = dict(docs.dtypes)[id_col]
 
     def make(codec: Codec, texts: pa.Array) -> list[pa.Array]:
-        return [pa.array([codec.encode(t.as_py() or "") for t in texts], pa.list_(pa.int32()))]
+        return [pa.array([ids for group in groups(texts) for ids in codec.encode_all(group)], pa.list_(pa.int32()))]
 
     return _mapped(docs.select(F.col(id_col).alias("doc_id"), text_col), vocabulary(docs.sparkSession, path), pattern, ["ids"], f"doc_id {kind}, ids array<int>", make)
 
@@ -166,8 +185,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def make(codec: Codec, texts: pa.Array) -> list[pa.Array]:
         rows, kept = [], []
-        for t in texts:
-            ids = codec.encode(t.as_py() or "")
+        for ids in (ids for group in groups(texts) for ids in codec.encode_all(group)):
             rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
             if with_ids:
                 kept.append(pa.array(ids, pa.int32()))
