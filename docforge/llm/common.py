@@ -23,12 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows that a partition of an intermediate table has at least, so that late rounds of a loop don't write a file for each of many empty partitions.
+LEAST_ROWS = 10_000
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: written to the shared folder, so that lost executors lose nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def cut_small(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut, with the number of rows; tables that are small for their number of partitions get fewer."""
+    df = cut(df)
+    n = df.count()
+    return df.coalesce(n // LEAST_ROWS + 1), n
+
+
 def salt(by: Column, n: int) -> Column:
     """A number under n that spreads the rows of one key evenly; a null gets one, too."""
     return F.pmod(F.xxhash64(by), F.lit(n)).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, near_dedup, pii, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, langid, line_dedup, near_dedup, pii, quotes, toxicity, warc
 from .common import table
 
 
@@ -13,6 +13,14 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: doc_id, n_gone and gone (numbers of the lines that go)."""
+    docs = table(spark, sf_dir, "documents")
+    gone = line_dedup.line_dedup(docs).withColumnRenamed("doc_id", "_id")
+    out = docs.select("doc_id").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return out.select("doc_id", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,6 +53,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    return linked.select("conv_id", "turn", "role", F.sha2("own", 256).alias("own_sha256"), "n_passages", "n_linked", "parent_turn", "root_turn", "depth")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     base = F.concat(*pii.KINDS)
@@ -82,7 +95,9 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = item
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op3_exact_dedup, op4_language_id, op5_warc, op6_toxicity, op8_pii, op9_byte_bpe, op10_decontaminate)}
+    return {f.__name__: f for f in (
+        op1_near_dedup, op2_line_dedup, op3_exact_dedup, op4_language_id, op5_warc, op6_toxicity, op7_quotes, op8_pii, op9_byte_bpe, op10_decontaminate,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
