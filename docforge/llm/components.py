@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import LEAST_ROWS, cut, cut_small
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,13 +15,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     changes; the number of rounds grows with the logarithm of a component's width. Labels are written to the shared
     folder after each round, the driver only learns whether any changed.
     """
-    both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).filter("x <> y").distinct())
-    labels = cut(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("least")).select("id", F.least("id", "least").alias("label")))
+    ends = links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y")))
+    both, _ = cut_small(ends.filter("x <> y").distinct())
+    labels, nodes = cut_small(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("least")).select("id", F.least("id", "least").alias("label")))
     while True:
         near = both.join(labels.select(F.col("id").alias("y"), "label"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         to = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         after = cut(step.join(to, "label", "left").select("id", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
-        labels = after.select("id", "label")
+        labels = after.coalesce(nodes // LEAST_ROWS + 1).select("id", "label")
         if after.filter("label <> was").limit(1).count() == 0:
             return labels

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread_lookup
+from .common import cut, cut_small, spread_lookup
 from .components import components
 
 #: Words in a k-mer, minima kept in an entry of a sketch, and entries.
@@ -234,18 +234,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found, content, turn = [], None, 0
     while True:
         centers = members.groupBy("key").agg(F.min("doc").alias("center"), F.count("*").alias("n")).filter("n > 1").select("key", "center")
-        members = cut(members.join(centers, "key").filter("doc <> center"))
-        if members.limit(1).count() == 0:
+        members, n = cut_small(members.join(centers, "key").filter("doc <> center"))
+        if not n:
             break
         pairs = members.select("doc", "center").distinct()
         if content is None:
             # merged and not broadcast: the number of these texts grows with the corpus
             used = members.select("doc").union(members.select(F.col("center").alias("doc"))).distinct().join(known, "doc")
             words = plain.mapInArrow(_packed, f"doc {kind}, words binary")
-            content = cut(words.join(used.hint("merge"), "doc"))
+            content, _ = cut_small(words.join(used.hint("merge"), "doc"))
         aligned = pairs.join(content.select("doc", "words"), "doc").join(content.select(F.col("doc").alias("center"), F.col("words").alias("other")), "center")
         judged = aligned.select("doc", "center", "words", "other").mapInArrow(_verify, f"doc {kind}, center {kind}, good boolean")
-        links = cut(judged.filter("good").select("doc", "center"))
+        links, _ = cut_small(judged.filter("good").select("doc", "center"))
         found.append(links)
         turn += 1
         if turn >= ENTRIES:
