@@ -1,9 +1,24 @@
 """The library's queries over the driver's tables, each with the SQL that states the same result."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import importlib
 
+from .plans.base import ORACLES, QUERIES
 
-def oracle_sql():
-    return {}
+MODULES = ("documents", "ledgers")
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"docforge.plans.{m}")
+
+
+def queries() -> dict:
+    _load()
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(ORACLES)
