@@ -6,7 +6,7 @@ import importlib
 
 from .plans.base import ORACLES, QUERIES
 
-MODULES = ("documents", "ledgers")
+MODULES = ("documents", "ledgers", "statistics", "matching", "pages")
 
 
 def _load() -> None:

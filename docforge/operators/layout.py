@@ -59,8 +59,8 @@ def budget_chunks(rows: DataFrame, by: list[str], order: str, chars: Column, mos
         chunk = a["chunk"] + new.cast("int")
         return F.struct(chunk.alias("chunk"), (F.when(new, 1).otherwise(a["n"] + 1)).cast("int").alias("n"), F.when(new, x["c"]).otherwise(a["chars"] + x["c"]).alias("chars"), F.concat(a["out"], F.array(chunk)).alias("out"))
 
-    folded = sizes.withColumn("k", F.aggregate("s", zero, step, lambda a: a["out"]))
-    long = folded.select(*by, F.explode(F.arrays_zip(F.col("s"), F.col("k"))).alias("z")).select(*by, F.col("z.s.o").alias("o"), F.col("z.k").alias("chunk"))
+    folded = sizes.withColumn("_k", F.aggregate("s", zero, step, lambda a: a["out"]))
+    long = folded.select(*by, F.explode(F.arrays_zip(F.col("s"), F.col("_k"))).alias("z")).select(*by, F.col("z.s.o").alias("o"), F.col("z._k").alias("chunk"))
     return long.groupBy(*by, "chunk").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.count("*").alias("n"))
 
 
