@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Pre-tokens whose ids a worker remembers; the table starts anew beyond that.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -148,9 +150,10 @@ def _mapped(df: DataFrame, vocab, pattern: str, columns: list[str], schema: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocab, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 yield pa.RecordBatch.from_arrays([part.column(0), *make(codec, part.column(1))], names=["doc_id", *columns])
+        release(codec.known)
 
     return df.mapInArrow(run, schema)
 

@@ -40,6 +40,14 @@ def cut_small(df: DataFrame) -> tuple[DataFrame, int]:
     return df.coalesce(n // LEAST_ROWS + 1), n
 
 
+def release(known: dict) -> None:
+    """At a task's end: what a Python worker remembers would else stay in its memory, idle or busy with other stages."""
+    import pyarrow as pa
+
+    known.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def salt(by: Column, n: int) -> Column:
     """A number under n that spreads the rows of one key evenly; a null gets one, too."""
     return F.pmod(F.xxhash64(by), F.lit(n)).cast("int")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_small, spread_lookup
+from .common import cut, cut_small, release, spread_lookup
 from .components import components
 
 #: Words in a k-mer, minima kept in an entry of a sketch, and entries.
@@ -29,7 +29,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -106,6 +106,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "digest", "n_words", "sketch"])
+    release(_HASHES)
 
 
 def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -200,6 +201,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last, center = number, hashed(unpack(other.as_py()).split())
             good.append(similar(hashed(unpack(own.as_py()).split()), center))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["doc", "center", "good"])
+    release(_HASHES)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
