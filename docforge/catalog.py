@@ -6,7 +6,7 @@ import importlib
 
 from .plans.base import ORACLES, QUERIES
 
-MODULES = ("documents", "ledgers", "statistics", "matching", "pages")
+MODULES = ("documents", "ledgers", "statistics", "matching", "pages", "cases")
 
 
 def _load() -> None:

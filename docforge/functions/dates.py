@@ -96,4 +96,4 @@ def mentioned(date: Column, text: Column, reach: int = 20) -> Column:
     gap = F.lit(f".{{0,{reach}}}?")
     both = F.concat(F.lit("(?is)(?:"), day_form, gap, month_form, F.lit("|"), month_form, gap, day_form, F.lit(")"))
     years = F.regexp_extract_all(text, F.lit("(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"), F.lit(1))
-    return text.rlike(both) & ((F.size(years) == 0) | F.array_contains(years, F.year(date).cast("string")))
+    return F.rlike(text, both) & ((F.size(years) == 0) | F.array_contains(years, F.year(date).cast("string")))
