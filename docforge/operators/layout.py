@@ -96,11 +96,12 @@ def skew_angle(segments: DataFrame, by: list[str], least: int = 4, most: float =
 
 def reading_order(elements: DataFrame, orphans: DataFrame, by: list[str]) -> DataFrame:
     """elements (rank, page, y0) with orphans (page, y0) put before the first element that lies further on, numbered anew from 0."""
-    later = orphans.join(elements.select(*by, F.col("rank").alias("r"), F.col("page").alias("p"), F.col("y0").alias("y")), by, "left")
-    further = (F.col("p") > F.col("page")) | ((F.col("p") == F.col("page")) & (F.col("y") > F.col("y0")))
-    anchored = later.groupBy(*by, "orphan_id", "page", "y0").agg(F.min(F.when(further, F.col("r"))).alias("anchor"))
-    both = elements.select(*by, F.lit(None).cast("long").alias("orphan_id"), "page", "y0", F.col("rank").cast("double").alias("key"), F.lit(1).alias("kind")).unionByName(
-        anchored.select(*by, F.col("orphan_id").cast("long").alias("orphan_id"), "page", "y0", F.coalesce(F.col("anchor").cast("double"), F.lit(float("inf"))).alias("key"), F.lit(0).alias("kind")))
+    e = elements.select(*by, F.lit(None).cast("long").alias("orphan_id"), "page", "y0", "rank", F.lit(1).alias("kind"))
+    o = orphans.select(*by, F.col("orphan_id").cast("long").alias("orphan_id"), "page", "y0", F.lit(None).cast(dict(elements.dtypes)["rank"]).alias("rank"), F.lit(0).alias("kind"))
+    # in order of place, elements before orphans of the same place: the least rank of all that follow
+    w = Window.partitionBy(*by).orderBy("page", "y0", F.desc("kind")).rowsBetween(1, Window.unboundedFollowing)
+    anchor = F.coalesce(F.min("rank").over(w).cast("double"), F.lit(float("inf")))
+    both = e.unionByName(o).withColumn("key", F.when(F.col("kind") == 1, F.col("rank").cast("double")).otherwise(anchor)).drop("rank")
     return numbered(both, by, ["key", "kind", "page", "y0", "orphan_id"], "reading_order_index").drop("key")
 
 
