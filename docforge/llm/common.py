@@ -40,11 +40,12 @@ def cut_small(df: DataFrame) -> tuple[DataFrame, int]:
     return df.coalesce(n // LEAST_ROWS + 1), n
 
 
-def release(known: dict) -> None:
+def release(known: dict | None = None) -> None:
     """At a task's end: what a Python worker remembers would else stay in its memory, idle or busy with other stages."""
     import pyarrow as pa
 
-    known.clear()
+    if known is not None:
+        known.clear()
     pa.default_memory_pool().release_unused()
 
 

@@ -20,30 +20,25 @@ WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A o
 #: Hash values of a document that are held at once.
 CELLS = 1 << 20
 _ODD = np.random.RandomState(20).randint(0, 1 << 62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = np.random.RandomState(22).randint(0, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[0x20] = 0  # the blank between words adds nothing
+_PLACE = np.random.RandomState(23).randint(0, 1 << 62, 1 << 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.random.RandomState(21).randint(0, 1 << 62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Hashes(dict):
-    """Hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 100_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_HASHES = _Hashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(WORDS).split()
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of words: sums of a number for each byte times a number for its place in the word."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(b" ".join(words), np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    place = np.arange(len(raw)) - np.repeat(starts, sizes + 1)[: len(raw)]
+    return mixed(np.add.reduceat(_BYTE[raw] * _PLACE[place & 0xFFFF], starts) + sizes.astype(np.uint64) * _ODD[12])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -106,7 +101,19 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "digest", "n_words", "sketch"])
-    release(_HASHES)
+    release()
+
+
+def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of two sequences without their common beginning and end."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    start = int(differ[0]) if len(differ) else n
+    a, b = a[start:], b[start:]
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    end = int(differ[0]) if len(differ) else n
+    return a[: len(a) - end], b[: len(b) - end]
 
 
 def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -117,14 +124,7 @@ def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """
     if abs(len(a) - len(b)) > most:
         return None
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    start = int(differ[0]) if len(differ) else n
-    a, b = a[start:], b[start:]
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
-    end = int(differ[0]) if len(differ) else n
-    a, b = a[: len(a) - end], b[: len(b) - end]
+    a, b = trimmed(a, b)
     if not len(a) or not len(b):
         return d if (d := len(a) + len(b)) <= most else None
     ua, ca = np.unique(a, return_counts=True)
@@ -176,8 +176,11 @@ def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Edit similarity of words, 1 - distance / the longer length, is `least` or more."""
-    longest = max(len(a), len(b))
-    return distance_within(a, b, int((1 - least) * longest + 1e-9)) is not None
+    most = int((1 - least) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    a, b = trimmed(a, b)
+    return max(len(a), len(b)) <= most or distance_within(a, b, most) is not None
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +204,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last, center = number, hashed(unpack(other.as_py()).split())
             good.append(similar(hashed(unpack(own.as_py()).split()), center))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["doc", "center", "good"])
-    release(_HASHES)
+    release()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
