@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docforge.llm import near_dedup as N
-from docforge.llm.components import components
+from docforge.llm.components import components, contracted
 
 
 def levenshtein(a, b):
@@ -102,5 +102,6 @@ def test_empty_table_and_nothing_alike(spark):
 
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 400)] + [(5, 5), (1, 2)]
-    got = {r.id: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**{i: 100 for i in range(100, 161)}, 7: 7, **{i: 7 for i in range(200, 400)}, 1: 1, 2: 1}
+    table = spark.createDataFrame(links, "a long, b long")
+    got = {r.id: r.label for r in components(table).collect()}
+    assert got == {r.id: r.label for r in contracted(table, "a", "b").collect()} == {**{i: 100 for i in range(100, 161)}, 7: 7, **{i: 7 for i in range(200, 400)}, 1: 1, 2: 1}
