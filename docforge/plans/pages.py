@@ -12,12 +12,12 @@ _X = "(l_partkey * 7 + l_suppkey * 3) % 500"
 _Y = "(l_partkey * 13 + l_linenumber * 29) % 700"
 _W = "10 + l_quantity * 2"
 _H = "8 + l_linenumber * 4"
-BOXES = f"""b AS (SELECT l_orderkey % 300 AS page, row_number() OVER (PARTITION BY l_orderkey % 300 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) - 1 AS id, ({_X})::DOUBLE AS x0, ({_Y})::DOUBLE AS y0, ({_X} + {_W})::DOUBLE AS x1, ({_Y} + {_H})::DOUBLE AS y1 FROM lineitem WHERE l_orderkey % 10 < 4)"""
+BOXES = f"""b AS (SELECT l_orderkey // 50 AS page, row_number() OVER (PARTITION BY l_orderkey // 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) - 1 AS id, ({_X})::DOUBLE AS x0, ({_Y})::DOUBLE AS y0, ({_X} + {_W})::DOUBLE AS x1, ({_Y} + {_H})::DOUBLE AS y1 FROM lineitem WHERE l_orderkey % 10 < 4)"""
 
 
 def boxes(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 < 4")
-    li = layout.numbered(li.withColumn("page", F.col("l_orderkey") % 300), ["page"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"], "item_id")
+    li = layout.numbered(li.withColumn("page", F.floor(F.col("l_orderkey") / 50)), ["page"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"], "item_id")
     x, y, w, h = (F.expr(e) for e in (_X, _Y, _W, _H))
     return li.select("page", "item_id", g.box(x, y, x + w, y + h).alias("box"))
 
