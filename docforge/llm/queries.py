@@ -16,7 +16,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: doc_id, n_gone and gone (numbers of the lines that go)."""
     docs = table(spark, sf_dir, "documents")
-    gone = line_dedup.line_dedup(docs).withColumnRenamed("doc_id", "_id")
+    gone = line_dedup.line_dedup(docs, distance=None).withColumnRenamed("doc_id", "_id")
     out = docs.select("doc_id").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return out.select("doc_id", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
 
