@@ -13,7 +13,7 @@ from .common import cut, cut_small, release, spread_lookup
 from .components import components
 
 #: Words in a k-mer, minima kept in an entry of a sketch, and entries.
-K, MINIMA, ENTRIES = 5, 2, 16
+K, MINIMA, ENTRIES = 3, 2, 40
 SIMILARITY = 0.8
 #: Bytes to a space unless they belong to a word: letters and digits of ASCII and all from 0x80.
 WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -212,7 +212,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     1. Words are runs of letters and digits in lower case. Texts of equal words are one class from the start; what
        follows has each text once.
-    2. Order MinHash: for each of 16 hash functions the two smallest occurrence-labelled k-mers of five words,
+    2. Order MinHash: for each of 40 hash functions the two smallest occurrence-labelled k-mers of three words,
        in text order, are an entry. Texts with an equal entry are in one bucket.
     3. Each text of a bucket is paired with the bucket's smallest identifier, not with all others, so that the
        pairs grow with the entries and not with their square. Pairs are aligned: similar if the edit similarity of
@@ -222,8 +222,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
        when texts agree in all entries).
     5. Classes are the connected components of the similar pairs.
 
-    Texts whose k-mers have a Jaccard similarity of 0.8 share an entry each with a probability of about 0.64, so that
-    none of 16 is shared once in ten million pairs; at 0.5 one pair in a hundred is missed. Nothing is sampled or capped.
+    Of pairs with a fifth of their words substituted at random about 99 in 100 share an entry, with a sixth and less nearly
+    all (`tests/llm/test_near_dedup.py`). Nothing is sampled or capped.
     A null text counts as empty; texts without words are copies only if they are equal. Rows that share an identifier
     share a class if one of them has links. A null identifier makes no links; it gets the class of its copies, or null.
     Ties go to the smallest identifier. An empty table gives no rows; further columns are not read.

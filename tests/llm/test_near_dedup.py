@@ -105,3 +105,19 @@ def test_components_of_long_chains_and_stars(spark):
     table = spark.createDataFrame(links, "a long, b long")
     got = {r.id: r.label for r in components(table).collect()}
     assert got == {r.id: r.label for r in contracted(table, "a", "b").collect()} == {**{i: 100 for i in range(100, 161)}, 7: 7, **{i: 7 for i in range(200, 400)}, 1: 1, 2: 1}
+
+
+def test_scattered_edits_share_an_entry():
+    """Pairs of an edit similarity of 0.8 to 0.9, all edits scattered, out of 200."""
+    rng = random.Random(11)
+    for n in (100, 400):
+        for share, least in ((0.1, 200), (0.15, 197), (0.2, 190)):
+            found = 0
+            for _ in range(200):
+                a = [b"%d" % rng.randrange(10**6) for _ in range(n)]
+                b = list(a)
+                for i in rng.sample(range(n), int(share * n)):
+                    b[i] = b"%d" % rng.randrange(10**6)
+                found += bool((N.sketch(N.kmers(N.hashed(a))) == N.sketch(N.kmers(N.hashed(b)))).any())
+            print(n, share, found)
+            assert found >= least
