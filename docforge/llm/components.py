@@ -5,34 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEAST_ROWS, cut, cut_small
+from .common import cut_small, looked_up
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def contracted(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, label: each identifier that occurs in links, and the smallest identifier of its component.
 
-    Each round gives a node the smallest label among its neighbours, then the label of that label, until nothing
-    changes; the number of rounds grows with the logarithm of a component's width. Labels are written to the shared
-    folder after each round, the driver only learns whether any changed.
-    """
-    ends = links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y")))
-    both, _ = cut_small(ends.filter("x <> y").distinct())
-    labels, nodes = cut_small(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("least")).select("id", F.least("id", "least").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("y"), "label"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        to = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        after = cut(step.join(to, "label", "left").select("id", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
-        labels = after.coalesce(nodes // LEAST_ROWS + 1).select("id", "label")
-        if after.filter("label <> was").limit(1).count() == 0:
-            return labels
-
-
-def contracted(links: DataFrame, a: str, b: str) -> DataFrame:
-    """The same as components, by contraction: fewer rows are joined where links are many for their nodes.
-
     Each round a node takes the smallest neighbour below it as its parent, parents are followed up to their roots, and links
     are redrawn between roots; links within a root go. The labels are the parents of all rounds, one after the other.
+    The rounds grow with the logarithm of a component's width. Each is written to the shared folder; the driver learns
+    only how many links are left. A root may have a third of all links: it is looked up without gathering them.
     """
     x, y = F.greatest(a, b), F.least(a, b)
     edges, n = cut_small(links.select(x.alias("x"), y.alias("y")).filter("x <> y").distinct())
@@ -41,12 +23,12 @@ def contracted(links: DataFrame, a: str, b: str) -> DataFrame:
         up, _ = cut_small(edges.groupBy("x").agg(F.min("y").alias("root")))
         while True:
             above = up.select(F.col("x").alias("root"), F.col("root").alias("above"))
-            step, _ = cut_small(up.join(above, "root", "left").select("x", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+            step, _ = cut_small(looked_up(up, above, "root", "x", "left").select("x", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
             up = step.select("x", "root")
             if not step.filter("moved").limit(1).count():
                 break
-        low = edges.join(up, "x").select("y", F.col("root").alias("x"))
-        both = low.join(up.select(F.col("x").alias("y"), "root"), "y", "left").select("x", F.coalesce("root", "y").alias("y"))
-        labels, _ = cut_small(labels.join(up.select(F.col("x").alias("label"), "root"), "label", "left").select("id", F.coalesce("root", "label").alias("label")))
+        low = looked_up(edges, up, "x", "y").select("x", "y", "root")
+        both = looked_up(low, up.select(F.col("x").alias("y"), F.col("root").alias("other")), "y", "x", "left").select(F.col("root").alias("x"), F.coalesce("other", "y").alias("y"))
+        labels, _ = cut_small(looked_up(labels, up.select(F.col("x").alias("label"), "root"), "label", "id", "left").select("id", F.coalesce("root", "label").alias("label")))
         edges, n = cut_small(both.filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
     return labels

@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_small, release, spread_lookup
-from .components import components
+from .buckets import classes
+from .common import cut, looked_up, release, spread_lookup
 
-#: Words in a k-mer, minima kept in an entry of a sketch, and entries.
-K, MINIMA, ENTRIES = 3, 2, 40
+#: Words in a k-mer, and entries of a sketch; an entry keeps two minima.
+K, ENTRIES = 5, 96
+#: Texts of fewer words have few k-mers of K: they have as many entries of shorter ones besides.
+SHORT, SHORT_K = 60, 2
 SIMILARITY = 0.8
+#: Bits that say of how many words with a certain hash a text has an odd number.
+PARITY = 512
 #: Bytes to a space unless they belong to a word: letters and digits of ASCII and all from 0x80.
 WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-#: Hash values of a document that are held at once.
-CELLS = 1 << 20
+#: Hash values of a document that are held at once: they stay in a core's cache.
+CELLS = 1 << 16
 _ODD = np.random.RandomState(20).randint(0, 1 << 62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = np.random.RandomState(22).randint(0, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[0x20] = 0  # the blank between words adds nothing
 _PLACE = np.random.RandomState(23).randint(0, 1 << 62, 1 << 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.random.RandomState(21).randint(0, 1 << 62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: A number to mix in and an odd one to multiply with for each hash function of a sketch.
+_SEED = np.random.RandomState(24).randint(0, 1 << 62, 256).astype(np.uint64)
+_TIMES = np.random.RandomState(25).randint(0, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -66,23 +74,40 @@ def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
     return s
 
 
-def sketch(s: np.ndarray, entries: int = ENTRIES, minima: int = MINIMA) -> np.ndarray:
-    """For each of the hash functions, its smallest k-mers put back in text order, as one hash."""
-    take = min(minima, len(s))
-    out = np.zeros(entries if take else 0, np.uint64)
-    step = max(1, CELLS // max(1, len(s)))
-    for at in range(0, len(out), step):
-        number = np.arange(at, min(at + step, entries))
-        v = (s[None, :] ^ _MIX[number, None]) * _ODD[number + 16, None]
-        v ^= v >> np.uint64(29)
-        v *= _ODD[15]
-        low = np.argpartition(v, take - 1, axis=1)[:, :take] if take < len(s) else np.tile(np.arange(take), (len(number), 1))
-        chosen = s[np.sort(low, axis=1)]
-        total = mixed(number.astype(np.uint64) + np.uint64(77))
-        for j in range(take):
-            total = mixed(total * _ODD[11] + chosen[:, j])
-        out[number] = total
-    return out
+def sketch(s: np.ndarray, entries: int = ENTRIES, first: int = 0) -> np.ndarray:
+    """For each of the hash functions from `first` on, its two smallest k-mers put back in text order, as one hash."""
+    n = len(s)
+    if not n:
+        return s
+    least, second = np.zeros(entries, np.int64), np.full(entries, n - 1)
+    step = max(1, CELLS // n)
+    for at in range(0, entries if n > 2 else 0, step):
+        of = slice(at, min(at + step, entries))
+        v = s[None, :] ^ _SEED[first + of.start : first + of.stop, None]
+        v *= _TIMES[first + of.start : first + of.stop, None]
+        least[of] = v.argmin(axis=1)
+        v[np.arange(len(v)), least[of]] = np.iinfo(np.uint64).max
+        second[of] = v.argmin(axis=1)
+    number = np.arange(first, first + entries).astype(np.uint64) + np.uint64(77)
+    return mixed(mixed(number * _ODD[11] + s[np.minimum(least, second)]) * _ODD[11] + s[np.maximum(least, second)])
+
+
+def entries_of(h: np.ndarray) -> np.ndarray:
+    """The keys under which a text of these word hashes meets others."""
+    own = sketch(kmers(h))
+    return own if len(h) >= SHORT else np.concatenate((own, sketch(kmers(h, SHORT_K), ENTRIES, ENTRIES)))
+
+
+def parity(h: np.ndarray, bits: int = PARITY) -> np.ndarray:
+    """`bits` bits as 64-bit numbers: whether the number of words in each of so many bins is odd. An edit changes two of them at most."""
+    return np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8).view(np.int64)
+
+
+def may_be_alike(a: Column, b: Column, least: float = SIMILARITY, numbers: int = PARITY // 64) -> Column:
+    """False only if the edit similarity of two texts is surely less: by their numbers of words (n), and by the bits of parity (p)."""
+    most = F.floor(F.greatest(a["n"], b["n"]) * (1 - least) + 1e-9)
+    differ = sum(F.bit_count(a["p"][i].bitwiseXOR(b["p"][i])) for i in range(numbers))
+    return (F.abs(a["n"] - b["n"]) <= most) & (differ <= 2 * most)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,16 +116,21 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            digests, counts, rows = [], [], []
+            digests, counts, rows, odd = [], [], [], []
             for text in part.column(1):
                 text = text.as_py() or ""
                 words = words_of(text)
                 digests.append(xxhash.xxh3_128_digest(b"w" + b" ".join(words) if words else b"r" + text.encode()))
                 counts.append(len(words))
-                rows.append(sketch(kmers(hashed(words))).view(np.int64))
+                h = hashed(words)
+                rows.append(entries_of(h).view(np.int64))
+                odd.append(parity(h))
             ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "digest", "n_words", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(odd, pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "n", "sketch", "p"],
+            )
     release()
 
 
@@ -119,68 +149,102 @@ def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """The edit distance of two word sequences if it is `most` or less, else None.
 
-    The alignment goes along the diagonals of a band of `most` on either side: for each number of edits, how far
-    each diagonal can be followed, with runs of equal words passed over by comparing prefix hashes.
+    The alignment stays within a band of `most` on either side of the diagonal. A column of the band is held as bits of
+    whole numbers, that say where the distance grows (up) or falls (down) from a row to the next, and moves down by a row
+    each step (Hyyro's form of Myers's algorithm). The distance is followed along the band's lower edge, then along the last row.
     """
     if abs(len(a) - len(b)) > most:
         return None
     a, b = trimmed(a, b)
-    if not len(a) or not len(b):
-        return d if (d := len(a) + len(b)) <= most else None
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    if max(len(a), len(b)) - int(np.minimum(ca[ia], cb[ib]).sum()) > most:
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return d if (d := len(a)) <= most else None
+    if len(a) - shared_words(a, b) > most:
         return None
-    longest = max(len(a), len(b))
-    with np.errstate(over="ignore"):
-        powers = np.ones(longest + 1, np.uint64)
-        np.multiply.accumulate(np.full(longest, _ODD[3]), out=powers[1:])
-        ha = np.concatenate(([np.uint64(0)], np.cumsum(a * powers[: len(a)], dtype=np.uint64)))
-        hb = np.concatenate(([np.uint64(0)], np.cumsum(b * powers[: len(b)], dtype=np.uint64)))
-        goal = len(b) - len(a)
-        shift = most + 1
-        far = np.full(2 * shift + 1, -2, np.int64)  # far[k + shift]: words of a passed on diagonal k
-        for edits in range(most + 1):
-            lo, hi = -min(edits, most), min(edits, most)
-            k = np.arange(lo, hi + 1)
-            if edits:
-                i = np.maximum(np.maximum(far[k + shift] + 1, far[k + shift - 1]), far[k + shift + 1] + 1)
-            else:
-                i = np.zeros(1, np.int64)
-            i = np.minimum(i, np.minimum(len(a), len(b) - k))
-            ok = (i >= 0) & (i + k >= 0)
-            i, live = np.where(ok, i, -2), np.flatnonzero(ok)
-            p, q = i[live], i[live] + k[live]
-            go = np.flatnonzero((p < len(a)) & (q < len(b)))
-            go = go[a[p[go]] == b[q[go]]]
-            if len(go):
-                x, y = p[go], q[go]
-                left = np.minimum(len(a) - x, len(b) - y)
-                run = np.zeros(len(go), np.int64)
-                step = 1 << int(left.max()).bit_length()
-                while step:
-                    to = run + step
-                    can = np.flatnonzero(to <= left)
-                    u, v, w = x[can], y[can], to[can]
-                    same = (ha[u + w] - ha[u]) * powers[v] == (hb[v + w] - hb[v]) * powers[u]
-                    run[can[same]] = w[same]
-                    step >>= 1
-                p[go] += run
-                i[live] = p
-            far[k + shift] = i
-            if abs(goal) <= edits and far[goal + shift] >= len(a):
-                return edits
-    return None
+    k = min(most, len(a))
+    rows: dict[int, int] = {}
+    for n, word in enumerate(a.tolist()):
+        rows[word] = rows.get(word, 0) | 1 << n
+    lower = 1 << 2 * k
+    band = 2 * lower - 1
+    up, down, distance, turn = band & ~((1 << k) - 1), 0, k, len(a) - k
+    left = len(b) - turn  # steps along the last row
+    for column, word in enumerate(b.tolist(), 1):
+        at = column - k - 1
+        same = rows.get(word, 0)
+        same = (same >> at if at >= 0 else same << -at) & band
+        diagonal = ((((same & up) + up) ^ up) | same | down) & band
+        rises = down | (band & ~(diagonal | up))
+        falls = diagonal & up
+        if column <= turn:
+            distance += not diagonal & lower
+            if distance - left > most:
+                return None
+        else:
+            at_end = lower >> (column - turn)
+            distance += bool(rises & at_end) - bool(falls & at_end)
+        up = falls | (band & ~((diagonal >> 1) | rises))
+        down = (diagonal >> 1) & rises
+    return distance if distance <= most else None
+
+
+def chained(a: np.ndarray, b: np.ndarray, k: int = 3) -> int:
+    """The edits of one alignment of two word sequences, so their distance or more.
+
+    It goes along the k-mers that occur once in either, by the longest chain that rises in both: words beside each other between
+    two of them on one diagonal are compared, gaps between diagonals count whole.
+    """
+    if min(len(a), len(b)) < k:
+        return max(len(a), len(b))
+    once = []
+    for h in (a, b):
+        grams = sum((h[j : len(h) - k + 1 + j] * _ODD[j] for j in range(k)), np.zeros(len(h) - k + 1, np.uint64))
+        value, at, n = np.unique(grams, return_index=True, return_counts=True)
+        once.append((value[n == 1], at[n == 1]))
+    _, i, j = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    p, q = once[0][1][i], once[1][1][j]
+    order = np.argsort(p)
+    p, q = p[order], q[order]
+    tails, last, before = [], [], []
+    for n, y in enumerate(q.tolist()):
+        at = bisect_left(tails, y)
+        tails[at : at + 1] = [y]
+        last[at : at + 1] = [n]
+        before.append(last[at - 1] if at else -1)
+    chain, n = [], last[-1] if last else -1
+    while n >= 0:
+        chain.append(n)
+        n = before[n]
+    p, q = p[chain[::-1]], q[chain[::-1]]
+    edits = x = y = 0  # x and y: words of a and b that are aligned
+    turns = np.flatnonzero(np.diff(p - q)) + 1
+    for start, end in zip([0, *turns], [*turns, len(p)]) if len(p) else ():
+        skip = max(0, x - p[start], y - q[start])
+        from_a, from_b, to_a = p[start] + skip, q[start] + skip, p[end - 1] + k
+        if from_a < to_a:
+            edits += max(from_a - x, from_b - y) + int((a[from_a:to_a] != b[from_b : from_b + to_a - from_a]).sum())
+            x, y = to_a, from_b + to_a - from_a
+    return int(edits + max(len(a) - x, len(b) - y))
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Edit similarity of words, 1 - distance / the longer length, is `least` or more."""
+    """Edit similarity of words, 1 - distance / the longer length, is `least` or more, by the cheapest bound that decides it."""
     most = int((1 - least) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
     a, b = trimmed(a, b)
-    return max(len(a), len(b)) <= most or distance_within(a, b, most) is not None
+    if max(len(a), len(b)) <= most or (len(a) == len(b) and (a != b).sum() <= most):
+        return True
+    return shared_words(a, b) >= max(len(a), len(b)) - most and (chained(a, b) <= most or distance_within(a, b, most) is not None)
+
+
+def shared_words(a: np.ndarray, b: np.ndarray) -> int:
+    """Words that two sequences have in common in any order."""
+    ua, ca = np.unique(a, return_counts=True)
+    ub, cb = np.unique(b, return_counts=True)
+    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    return int(np.minimum(ca[ia], cb[ib]).sum())
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +253,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     pack = zstandard.ZstdCompressor(3).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(b" ".join(words_of(t.as_py()))) for t in batch.column(1)], pa.binary())], names=["doc", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(b" ".join(words_of(t.as_py()))) for t in batch.column(1)], pa.binary())], names=["x", "words"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +267,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if number != last:
                 last, center = number, hashed(unpack(other.as_py()).split())
             good.append(similar(hashed(unpack(own.as_py()).split()), center))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["doc", "center", "good"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["x", "center", "good"])
     release()
 
 
@@ -212,17 +276,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     1. Words are runs of letters and digits in lower case. Texts of equal words are one class from the start; what
        follows has each text once.
-    2. Order MinHash: for each of 40 hash functions the two smallest occurrence-labelled k-mers of three words,
-       in text order, are an entry. Texts with an equal entry are in one bucket.
-    3. Each text of a bucket is paired with the bucket's smallest identifier, not with all others, so that the
-       pairs grow with the entries and not with their square. Pairs are aligned: similar if the edit similarity of
-       their words is 0.8 or more.
-    4. Texts that aren't similar to their bucket's smallest go to a smaller bucket, whose key has one more entry of
-       the sketch, and are paired there; this is repeated until no bucket has two such texts (or no entry is left,
-       when texts agree in all entries).
-    5. Classes are the connected components of the similar pairs.
-
-    Of pairs with a fifth of their words substituted at random about 99 in 100 share an entry, with a sixth and less nearly
+    2. Order MinHash: for each of 96 hash functions the two smallest occurrence-labelled k-mers of five words, in text
+       order, are an entry. Texts with an equal entry are in one bucket. Texts of fewer than 60 words have 96 entries
+       of two-word k-mers besides, as a single edit changes most of their few k-mers of five.
+    3. Pairs of a bucket are aligned: similar if the edit similarity of their words is 0.8 or more. All texts of a bucket are
+       compared with its smallest identifier, then with each other unless they are of one class already
+       (`buckets.classes`). Pairs are passed over only where a lower bound of their distance says that they can't be
+       similar, so that the similar pairs of each bucket are all linked.
+    4. Classes are the connected components of the similar pairs.
+
+    Of pairs with a fifth of their words substituted at random about 97 in 100 share an entry, with a sixth and less nearly
     all (`tests/llm/test_near_dedup.py`). Nothing is sampled or capped.
     A null text counts as empty; texts without words are copies only if they are equal. Rows that share an identifier
     share a class if one of them has links. A null identifier makes no links; it gets the class of its copies, or null.
@@ -230,39 +293,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     kind = dict(docs.dtypes)[id_col]
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(plain.mapInArrow(_sketches, f"doc_id {kind}, digest binary, n_words int, sketch array<bigint>"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sketch"))
-    texts = cut(rows.groupBy("digest").agg(first.alias("first")).select("digest", F.col("first.doc_id").alias("doc"), F.col("first.sketch").alias("sketch")))
-    known = texts.filter("doc is not null").select("doc", "sketch")
-
-    members = known.select("doc", F.posexplode("sketch").alias("entry", "key"))
-    found, content, turn = [], None, 0
-    while True:
-        centers = members.groupBy("key").agg(F.min("doc").alias("center"), F.count("*").alias("n")).filter("n > 1").select("key", "center")
-        members, n = cut_small(members.join(centers, "key").filter("doc <> center"))
-        if not n:
-            break
-        pairs = members.select("doc", "center").distinct()
+    rows = cut(plain.mapInArrow(_sketches, f"doc_id {kind}, digest binary, n int, sketch array<bigint>, p array<bigint>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sketch", "n", "p"))
+    texts = cut(rows.groupBy("digest").agg(first.alias("first")).select("digest", F.col("first.doc_id").alias("x"), "first.sketch", F.struct("first.n", "first.p").alias("own")))
+    known = texts.filter("x is not null")
+    content = None
+
+    def verified(pairs: DataFrame, everyone: DataFrame) -> DataFrame:
+        nonlocal content
         if content is None:
             # merged and not broadcast: the number of these texts grows with the corpus
-            used = members.select("doc").union(members.select(F.col("center").alias("doc"))).distinct().join(known, "doc")
-            words = plain.mapInArrow(_packed, f"doc {kind}, words binary")
-            content, _ = cut_small(words.join(used.hint("merge"), "doc"))
-        aligned = pairs.join(content.select("doc", "words"), "doc").join(content.select(F.col("doc").alias("center"), F.col("words").alias("other")), "center")
-        judged = aligned.select("doc", "center", "words", "other").mapInArrow(_verify, f"doc {kind}, center {kind}, good boolean")
-        links, _ = cut_small(judged.filter("good").select("doc", "center"))
-        found.append(links)
-        turn += 1
-        if turn >= ENTRIES:
-            break
-        rest = members.join(links, ["doc", "center"], "left_anti").join(content.select("doc", "sketch"), "doc")
-        members = rest.select("doc", "entry", F.xxhash64("key", F.element_at("sketch", (F.col("entry") + turn) % ENTRIES + 1)).alias("key"))
-    if found:
-        links = found[0]
-        for more in found[1:]:
-            links = links.unionByName(more)
-        labels = components(links, "doc", "center")
-        texts = texts.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("doc", F.coalesce("label", "doc"))
-    return spread_lookup(rows.select("doc_id", "digest"), texts.select("digest", F.col("doc").alias("class_id")), "digest", "doc_id").select(
+            content = cut(plain.mapInArrow(_packed, f"x {kind}, words binary").join(everyone.hint("merge"), "x").dropDuplicates(["x"]))
+        own = pairs.join(content, "x").select("x", "center", F.col("words").alias("own"))
+        both = looked_up(own, content.withColumnRenamed("x", "center"), "center", "x", small=False)
+        return both.select("x", "center", "own", "words").mapInArrow(_verify, f"x {kind}, center {kind}, good boolean").filter("good")
+
+    labels = classes(known.select("x", F.explode("sketch").alias("key")), known.select("x", "own").dropDuplicates(["x"]), verified, may_be_alike)
+    texts = texts.select("digest", "x")
+    if labels is not None:
+        texts = texts.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("x", F.coalesce("label", "x"))
+    return spread_lookup(rows.select("doc_id", "digest"), texts.select("digest", F.col("x").alias("class_id")), "digest", "doc_id").select(
         "doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
     )

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docforge.llm import near_dedup as N
-from docforge.llm.components import components, contracted
+from docforge.llm.components import contracted
 
 
 def levenshtein(a, b):
@@ -25,6 +25,24 @@ def test_distance_is_that_of_the_whole_table(a, b, most):
     assert N.distance_within(h[a].astype(np.uint64), h[b].astype(np.uint64), most) == (d if d <= most else None)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=40), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 30)), max_size=8), st.integers(1, 4))
+def test_an_alignment_along_shared_kmers_is_an_upper_bound(a, edits, k):
+    b = list(a)
+    for at, word in edits:
+        b[at : at + word % 3] = [word] * (word % 2)
+    h = N.mixed(np.arange(31, dtype=np.uint64) + np.uint64(5))
+    assert levenshtein(a, b) <= N.chained(h[a].astype(np.uint64), h[b].astype(np.uint64), k) <= max(len(a), len(b))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=40), st.lists(st.integers(0, 30), max_size=40))
+def test_parity_bounds_the_distance(a, b):
+    h = N.mixed(np.arange(31, dtype=np.uint64) + np.uint64(5))
+    p, q = (N.parity(h[x].astype(np.uint64)).view(np.uint8) for x in (a, b))
+    assert np.unpackbits(p ^ q).sum() <= 2 * levenshtein(a, b)
+
+
 def test_sketch_keeps_order_and_counts_occurrences():
     a, b = N.hashed([b"a", b"b", b"c"] * 4), N.hashed([b"a", b"b", b"c"] * 5)
     assert len(set(N.kmers(a).tolist())) == len(N.kmers(a))
@@ -103,21 +121,23 @@ def test_empty_table_and_nothing_alike(spark):
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 400)] + [(5, 5), (1, 2)]
     table = spark.createDataFrame(links, "a long, b long")
-    got = {r.id: r.label for r in components(table).collect()}
-    assert got == {r.id: r.label for r in contracted(table, "a", "b").collect()} == {**{i: 100 for i in range(100, 161)}, 7: 7, **{i: 7 for i in range(200, 400)}, 1: 1, 2: 1}
+    assert {r.id: r.label for r in contracted(table, "a", "b").collect()} == {**{i: 100 for i in range(100, 161)}, 7: 7, **{i: 7 for i in range(200, 400)}, 1: 1, 2: 1}
 
 
 def test_scattered_edits_share_an_entry():
-    """Pairs of an edit similarity of 0.8 to 0.9, all edits scattered, out of 200."""
+    """Pairs of an edit similarity of 0.8 to 0.95, all edits scattered, out of 200; substitutions, then every third edit an insertion or deletion."""
     rng = random.Random(11)
-    for n in (100, 400):
-        for share, least in ((0.1, 200), (0.15, 197), (0.2, 190)):
-            found = 0
-            for _ in range(200):
-                a = [b"%d" % rng.randrange(10**6) for _ in range(n)]
-                b = list(a)
-                for i in rng.sample(range(n), int(share * n)):
-                    b[i] = b"%d" % rng.randrange(10**6)
-                found += bool((N.sketch(N.kmers(N.hashed(a))) == N.sketch(N.kmers(N.hashed(b)))).any())
-            print(n, share, found)
-            assert found >= least
+    for n in (20, 50, 100, 400):
+        for share, least in ((0.05, 200 if n > 50 else 196), (0.1, 200 if n > 50 else 196), (0.15, 197 if n > 50 else 190), (0.2, 190 if n > 50 else 180)):
+            for mixed in (False, True):
+                found = 0
+                for _ in range(200):
+                    a = [b"%d" % rng.randrange(10**6) for _ in range(n)]
+                    b = [[w] for w in a]
+                    for turn, i in enumerate(rng.sample(range(n), int(share * n))):
+                        new = b"%d" % rng.randrange(10**6)
+                        b[i] = [[new], [], [b[i][0], new]][turn % 3] if mixed else [new]
+                    b = [w for ws in b for w in ws]
+                    found += bool(set(N.entries_of(N.hashed(a)).tolist()) & set(N.entries_of(N.hashed(b)).tolist()))
+                print(n, share, mixed, found)
+                assert found >= least
