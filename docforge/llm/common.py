@@ -65,16 +65,15 @@ def spread_lookup(rows: DataFrame, values: DataFrame, key: str, by: str, n: int
     return salted.join(met, [key, "_salt"], how).drop("_salt")
 
 
-#: Rows of a table that is sent to all executors at most; the rows are counted first, larger tables are met by a shuffle.
+#: Rows of a table of two or three numbers that is sent to all executors at most; the rows are counted first, larger tables are met by a shuffle.
 MOST_BROADCAST = 200_000
 
 
-def looked_up(rows: DataFrame, values: DataFrame, key: str, by: str, how: str = "inner", small: bool | None = None) -> DataFrame:
+def looked_up(rows: DataFrame, values: DataFrame, key: str, by: str, how: str = "inner", most: int = MOST_BROADCAST) -> DataFrame:
     """rows joined with values (few rows a key) on key, without a task that gets all rows of a key.
 
-    values are counted and broadcast where they are at most MOST_BROADCAST; else rows are dealt to salts (`spread_lookup`).
-    small says without counting which way to go.
+    values are counted and broadcast where they are at most `most` (0: never); else rows are dealt to salts (`spread_lookup`).
     """
-    if small if small is not None else values.count() <= MOST_BROADCAST:
+    if most and values.count() <= most:
         return rows.join(F.broadcast(values), key, how)
     return spread_lookup(rows, values, key, by, how=how)

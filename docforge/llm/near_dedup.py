@@ -25,28 +25,36 @@ WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A o
 #: Hash values of a document that are held at once: they stay in a core's cache.
 CELLS = 1 << 16
 _ODD = np.random.RandomState(20).randint(0, 1 << 62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE = np.random.RandomState(22).randint(0, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[0x20] = 0  # the blank between words adds nothing
-_PLACE = np.random.RandomState(23).randint(0, 1 << 62, 1 << 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.random.RandomState(21).randint(0, 1 << 62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: A number to mix in and an odd one to multiply with for each hash function of a sketch.
-_SEED = np.random.RandomState(24).randint(0, 1 << 62, 256).astype(np.uint64)
-_TIMES = np.random.RandomState(25).randint(0, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_SEED = np.random.RandomState(24).randint(0, 1 << 32, 256, np.uint32)
+_TIMES = np.random.RandomState(25).randint(0, 1 << 31, 256, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(WORDS).split()
 
 
+class _Hashes(dict):
+    """64-bit hashes of the words that a worker has met; begun anew when they are MOST_WORDS."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+#: Words whose hashes a worker remembers at most.
+MOST_WORDS = 1 << 17
+_HASHES = _Hashes()
+
+
 def hashed(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words: sums of a number for each byte times a number for its place in the word."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    raw = np.frombuffer(b" ".join(words), np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    place = np.arange(len(raw)) - np.repeat(starts, sizes + 1)[: len(raw)]
-    return mixed(np.add.reduceat(_BYTE[raw] * _PLACE[place & 0xFFFF], starts) + sizes.astype(np.uint64) * _ODD[12])
+    """64-bit hashes of words."""
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -64,9 +72,10 @@ def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
     for j in range(k):
         s += h[j : j + n] * _ODD[j]
     s = mixed(s)
-    order = np.argsort(s, kind="stable")
-    same = np.concatenate(([False], s[order[1:]] == s[order[:-1]]))
-    if same.any():
+    ordered = np.sort(s)
+    if (ordered[1:] == ordered[:-1]).any():
+        order = np.argsort(s, kind="stable")
+        same = np.concatenate(([False], s[order[1:]] == s[order[:-1]]))
         at = np.arange(n)
         nth = np.empty(n, np.uint64)
         nth[order] = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
@@ -80,13 +89,13 @@ def sketch(s: np.ndarray, entries: int = ENTRIES, first: int = 0) -> np.ndarray:
     if not n:
         return s
     least, second = np.zeros(entries, np.int64), np.full(entries, n - 1)
-    step = max(1, CELLS // n)
+    step, high = max(1, CELLS // n), (s >> np.uint64(32)).astype(np.uint32)
     for at in range(0, entries if n > 2 else 0, step):
         of = slice(at, min(at + step, entries))
-        v = s[None, :] ^ _SEED[first + of.start : first + of.stop, None]
+        v = high[None, :] ^ _SEED[first + of.start : first + of.stop, None]
         v *= _TIMES[first + of.start : first + of.stop, None]
         least[of] = v.argmin(axis=1)
-        v[np.arange(len(v)), least[of]] = np.iinfo(np.uint64).max
+        v[np.arange(len(v)), least[of]] = np.iinfo(np.uint32).max
         second[of] = v.argmin(axis=1)
     number = np.arange(first, first + entries).astype(np.uint64) + np.uint64(77)
     return mixed(mixed(number * _ODD[11] + s[np.minimum(least, second)]) * _ODD[11] + s[np.maximum(least, second)])
@@ -305,7 +314,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             # merged and not broadcast: the number of these texts grows with the corpus
             content = cut(plain.mapInArrow(_packed, f"x {kind}, words binary").join(everyone.hint("merge"), "x").dropDuplicates(["x"]))
         own = pairs.join(content, "x").select("x", "center", F.col("words").alias("own"))
-        both = looked_up(own, content.withColumnRenamed("x", "center"), "center", "x", small=False)
+        both = looked_up(own, content.withColumnRenamed("x", "center"), "center", "x", most=0)
         return both.select("x", "center", "own", "words").mapInArrow(_verify, f"x {kind}, center {kind}, good boolean").filter("good")
 
     labels = classes(known.select("x", F.explode("sketch").alias("key")), known.select("x", "own").dropDuplicates(["x"]), verified, may_be_alike)
