@@ -18,7 +18,7 @@ def contracted(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     x, y = F.greatest(a, b), F.least(a, b)
     edges, n = cut_small(links.select(x.alias("x"), y.alias("y")).filter("x <> y").distinct())
-    labels = cut_small(edges.select(F.explode(F.array("x", "y")).alias("id")).distinct())[0].withColumn("label", F.col("id"))
+    nodes, roots = edges.select(F.explode(F.array("x", "y")).alias("id")).distinct(), []
     while n:
         up, _ = cut_small(edges.groupBy("x").agg(F.min("y").alias("root")))
         while True:
@@ -27,8 +27,11 @@ def contracted(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             up = step.select("x", "root")
             if not step.filter("moved").limit(1).count():
                 break
+        roots.append(up)
         low = looked_up(edges, up, "x", "y").select("x", "y", "root")
         both = looked_up(low, up.select(F.col("x").alias("y"), F.col("root").alias("other")), "y", "x", "left").select(F.col("root").alias("x"), F.coalesce("other", "y").alias("y"))
-        labels, _ = cut_small(looked_up(labels, up.select(F.col("x").alias("label"), "root"), "label", "id", "left").select("id", F.coalesce("root", "label").alias("label")))
         edges, n = cut_small(both.filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
-    return labels
+    labels = nodes.withColumn("label", F.col("id"))
+    for up in roots:
+        labels = looked_up(labels, up.select(F.col("x").alias("label"), "root"), "label", "id", "left").select("id", F.coalesce("root", "label").alias("label"))
+    return cut_small(labels)[0]
