@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 BITS, LENGTHS = 14, (1, 2, 3)
 #: Characters that are turned into n-grams at once.
 PIECE = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
+#: Languages that one pass over a partition counts at a time.
+MOST_LANGUAGES = 64
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -23,7 +24,7 @@ def held_out(id_col: str, modulus: int = 4, remainder: int = 2) -> Column:
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Buckets of the text's n-grams, piece by piece. Case is folded; each run of anything but letters counts as one space."""
+    """Buckets of the text's n-grams, piece by piece. Case is folded; each run of anything but letters and numerals such as ½ counts as one space."""
     letters = " " + re.sub(r"[\W\d_]+", " ", text.lower()) + " "
     for at in range(0, len(letters), PIECE):
         points = np.frombuffer(letters[at : at + PIECE + max(LENGTHS) - 1].encode("utf-32-le"), np.uint32)
@@ -45,21 +46,29 @@ def gram_counts(text: str) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each partition's counts of every language, as rows for those buckets that occur."""
+    """Each partition's counts of every language, as rows for those buckets that occur. A column of many values is counted in portions."""
     counts: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
+
+    def portion() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(own[at], docs[lang]))], names=["lang", "bucket", "n"]
+            )
+        counts.clear()
+        docs.clear()
+
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if lang not in counts and len(counts) >= MOST_LANGUAGES:
+                yield from portion()
             docs[lang] = docs.get(lang, 0) + 1
             own = counts.setdefault(lang, np.zeros(1 << BITS, np.int64))
             if text := text.as_py():
                 for g in grams(text):
                     own += np.bincount(g, minlength=1 << BITS)
-    for lang, own in counts.items():
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(own[at], docs[lang]))], names=["lang", "bucket", "n"]
-        )
+    yield from portion()
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -84,7 +93,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
 def judge(text: str | None, langs: list[str], priors: np.ndarray, by_bucket: np.ndarray) -> tuple[str, float]:
     """Only the buckets that occur in the text are looked up in the matrix."""
-    if not langs or not text or not LETTER.search(text):
+    if not langs or not text or not any(map(str.isalpha, text)):
         return "und", 0.0
     counts = gram_counts(text)
     used = np.flatnonzero(counts)

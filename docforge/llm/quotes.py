@@ -56,8 +56,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     quoted = cut(hashed(quoted))
     links = None
     if quoted.limit(1).count():
-        asked = hashed(sentence).join(quoted.select("key").distinct(), "key", "left_semi")
-        origins = asked.groupBy("key").agg(F.min("turn").alias("origin"))
+        # the earliest turn of each sentence first: a sentence that is said over and over is one row before it is joined
+        origins = hashed(sentence).groupBy("key").agg(F.min("turn").alias("origin")).join(quoted.select("key").distinct(), "key", "left_semi")
         met = spread_lookup(quoted, origins, "key", "turn").filter("origin < turn")
         votes = met.groupBy("conv_id", "turn", "n", "level", "origin").agg(F.count("*").alias("votes"))
         passages = votes.groupBy("conv_id", "turn", "n", "level").agg(F.max(F.struct("votes", "origin")).alias("best"))

@@ -142,7 +142,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED):
     """The classifier, from toxic documents and unlabelled ones that aren't held out.
 
-    The class prior is the share of toxic labels among all labels that aren't held out. The samples are the documents
+    The class prior is the share of toxic labels among all labels that aren't held out: it is counted, not estimated from
+    positive and unlabelled rows. The samples are the documents
     with the smallest hashes of their identifiers: most_positive of those labelled toxic, most_unlabelled of all. The
     sample's identifiers are broadcast (a bounded number), its features go to the driver.
     None if there is nothing to learn from.
@@ -152,9 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not share or share >= 1:
         return None
     by_hash = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    ids = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").filter(~held_out("doc_id"))
-    sample = by_hash(known.filter("label > 0").select("doc_id").distinct(), most_positive).withColumn("positive", F.lit(True)).unionByName(by_hash(ids, most_unlabelled).withColumn("positive", F.lit(False)))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("positive", "text")
+    # labels without a document take no place in the sample, an identifier that repeats takes one
+    ids = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").filter(~held_out("doc_id")).distinct()
+    sample = by_hash(known.filter("label > 0").select("doc_id").distinct().join(ids, "doc_id", "left_semi"), most_positive).withColumn("positive", F.lit(True)).unionByName(by_hash(ids, most_unlabelled).withColumn("positive", F.lit(False)))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("positive", "doc_id").agg(F.min("text").alias("text")).select("positive", "text")
     got = texts.mapInArrow(_collected, "positive boolean, features array<int>").toArrow()
     positive, unlabelled = [], []
     for is_p, found in zip(got.column(0).to_pylist(), got.column(1)):

@@ -52,7 +52,8 @@ def payload_of(block: bytes) -> bytes | None:
 
 
 def urn(identifier: object) -> bytes:
-    return b"<urn:x-page:%b>" % quote(str(identifier), safe="").encode()
+    """The record's name; a null identifier, which no record refers to, has a kind of its own."""
+    return b"<urn:x-page:%b>" % quote(str(identifier), safe="").encode() if identifier is not None else b"<urn:x-unnamed:>"
 
 
 def record(kind: bytes, own: bytes, block: bytes, more: list[tuple[bytes, bytes]]) -> bytes:
@@ -200,7 +201,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def _identifier(column: str, kind: str):
     inner = F.regexp_extract(column, "^<urn:x-page:([^:>]*)>$", 1)
     plain = F.url_decode(F.regexp_replace(inner, r"\+", "%2B"))
-    return F.when(plain != "None", plain).cast(kind)
+    return F.when(F.startswith(F.col(column), F.lit("<urn:x-page:")), plain).cast(kind)
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", path: str | None = None, least: int = LEAST_REVISITED, segment: int = SEGMENT, per_file: int = PER_FILE) -> DataFrame:
@@ -210,16 +211,17 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Of records with equal payloads of `least` bytes, the one with the smallest identifier is the response and the
     others revisit it. A revisit's length is that of the response it names, its digest the one it states.
     The archives go to path, or to a new folder in the shared one. A null html is an empty payload, a null url
-    about:blank. A page_id is expected to be unique; a row that repeats gives a record each time, and rows with null
-    identifiers are responses. No rows give no records. Further columns are not read.
+    about:blank. A row that repeats gives a record each time; where a page_id repeats with another payload, each record is judged
+    by its own; rows with null identifiers are responses. No rows give no records. Further columns are not read.
     """
     spark, kind = pages.sparkSession, dict(pages.dtypes)[id_col]
     path = path or f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}"
     plain = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     digests = cut(plain.filter(F.length("payload") >= least).select("page_id", F.unhex(F.sha2("payload", 256)).alias("digest")))
     firsts = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = spread_lookup(digests, firsts, "digest", "page_id").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    write_warc(plain.join(revisits, "page_id", "left"), path, segment=segment, per_file=per_file)
+    revisits = spread_lookup(digests, firsts, "digest", "page_id").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    named = plain.withColumn("digest", F.unhex(F.sha2("payload", 256))).join(revisits, ["page_id", "digest"], "left").drop("digest")
+    write_warc(named, path, segment=segment, per_file=per_file)
 
     read = cut(
         read_warc(spark, path).select(
@@ -227,7 +229,9 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("digest"))
     )
     responses = read.filter("record_type = 'response'")
-    lengths = responses.filter("page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.first("payload_bytes").alias("payload_bytes"))
-    back = spread_lookup(read.filter("record_type = 'revisit'").drop("payload_bytes"), lengths, "refers_to", "page_id", how="left")
+    to = F.struct(F.col("page_id").alias("id"), F.col("digest").alias("stated"))
+    lengths = responses.filter("page_id is not null").groupBy(to.alias("to")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    asked = read.filter("record_type = 'revisit'").drop("payload_bytes").withColumn("to", F.struct(F.col("refers_to").alias("id"), "stated"))
+    back = spread_lookup(asked, lengths, "to", "page_id", how="left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return responses.withColumnRenamed("digest", "payload_digest").select(columns).unionByName(back.withColumnRenamed("stated", "payload_digest").select(columns))

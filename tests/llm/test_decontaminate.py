@@ -1,7 +1,7 @@
 import random
 import re
 
-from docforge.llm.decontaminate import decontaminate
+from docforge.llm.decontaminate import automaton, clean, coded, decontaminate, scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -47,6 +47,35 @@ def test_against_brute_force(spark):
         assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got), key=repr) == want
 
 
+def test_clean_judges_each_row_by_its_own_text(spark):
+    docs, items = make()
+    docs += [(0, "nothing here"), (0, docs[0][1]), (None, "nothing here"), (None, items[5][1])]
+    d = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, _row int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(n for n, (i, t) in enumerate(docs) if not brute([(i, t)], items)[0][4])
+    for kw in ({}, {"block_chars": 150}):
+        got = clean(d, b, **kw)
+        assert got.columns == d.columns and sorted(r["_row"] for r in got.collect()) == want
+
+
+def test_codes_are_told_apart_and_found_only_at_words():
+    assert len({coded(n) for n in range(0, 2_000_000, 37)}) == len(range(0, 2_000_000, 37))
+    assert all(ord(coded(n)[0]) >= 256 > 128 > max(map(ord, coded(n)[1:])) and min(map(ord, coded(n))) > 0 for n in range(0, 2_000_000, 9973))
+
+
+def test_a_block_of_full_size_stays_within_a_workers_memory():
+    import resource
+
+    rng = random.Random(4)
+    items = [(str(i), " ".join(str(rng.randrange(100_000)) for _ in range(100))) for i in range(1_700)]
+    assert sum(len(t) for _, t in items) > 980_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = automaton(-1, items, 13)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    n, hit, of, *_ = scan("x " + items[3][1], found)
+    assert (n, hit) == (101, 100) and "3" in of
+
+
 def test_spans_are_places_in_the_original(spark):
     text = "🙂 Vor dem, Über-ALL naïve Wort! danach"
     out = decontaminate(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([("q", "Über all naïve wort")], "item_id string, text string")).first()

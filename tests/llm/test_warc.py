@@ -49,6 +49,16 @@ def test_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, got), key=repr) == brute(rows_of())
 
 
+def test_identifiers_that_repeat_or_look_like_none(spark):
+    a, b = "a" * 150, "b" * 150
+    rows = [("None", "u", a), ("x", "u", a), ("x", "u", b), ("y", "u", b), (None, "u", b), ("y", "u", "short"), ("", "u", a)]
+    got = sorted(map(tuple, W.archive(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()), key=repr)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted(
+        [("None", 150, sha(a), "revisit", ""), ("x", 150, sha(a), "revisit", ""), ("", 150, sha(a), "response", None), ("x", 150, sha(b), "response", None),
+         ("y", 150, sha(b), "revisit", "x"), (None, 150, sha(b), "response", None), ("y", 5, sha("short"), "response", None)], key=repr)
+
+
 def test_damage_is_reported(spark, tmp_path):
     records = list(W.records_of(1, "u", b"a" * 1000, None, 300))
     (tmp_path / "x.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in [records[2], records[0]]))
