@@ -40,6 +40,11 @@ def cut_small(df: DataFrame) -> tuple[DataFrame, int]:
     return df.coalesce(n // LEAST_ROWS + 1), n
 
 
+def tidy(spark: SparkSession) -> None:
+    """Between rounds: collects the driver's garbage, on which Spark's cleaner drops shuffles, broadcasts and checkpoint files that no table needs any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(known: dict | None = None) -> None:
     """At a task's end: what a Python worker remembers would else stay in its memory, idle or busy with other stages."""
     import pyarrow as pa

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_small, looked_up
+from .common import cut_small, looked_up, tidy
 
 
 def contracted(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,6 +28,7 @@ def contracted(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             if not step.filter("moved").limit(1).count():
                 break
         roots.append(up)
+        tidy(links.sparkSession)
         low = looked_up(edges, up, "x", "y").select("x", "y", "root")
         both = looked_up(low, up.select(F.col("x").alias("y"), F.col("root").alias("other")), "y", "x", "left").select(F.col("root").alias("x"), F.coalesce("other", "y").alias("y"))
         edges, n = cut_small(both.filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
