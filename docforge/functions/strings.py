@@ -70,22 +70,10 @@ def tools_differ(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & ~F.contains(x, y) & ~F.contains(y, x) & ~exempt
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]+|[0-9]+(?:[.,][0-9]+)?)"), F.lit(1))
-
-
-def token_coverage(value: Column, text: Column) -> Column:
-    """The share of value's tokens that the text contains; null without tokens."""
-    own, low = tokens(value), F.lower(text)
-    return F.when(F.size(own) > 0, F.size(F.filter(own, lambda t: F.contains(low, t))) / F.size(own))
-
-
-def is_text_covered(value: Column, text: Column, least: float = 0.8) -> Column:
-    return token_coverage(value, text) >= least
-
-
-def should_check_text(text: Column) -> Column:
-    return (F.length(F.trim(text)) >= 3) & text.rlike(r"\p{L}")
+def should_check_text(text: Column, least: int = 3) -> Column:
+    """Three characters at least, with a letter of A to Z or two groups of digits apart."""
+    plain = F.trim(text)
+    return F.coalesce((F.length(plain) >= least) & (plain.rlike("[A-Za-z]") | plain.rlike(r"\d\s+\d")), F.lit(False))
 
 
 def symbols_only(text: Column) -> Column:
@@ -166,8 +154,3 @@ def xmp_history(text: Column) -> Column:
     part = lambda x, name: F.nullif(F.trim(F.regexp_extract(x, rf"(?i)\b{name}\s*[=:]\s*([^,;}}]+)", 1)), F.lit(""))
     items = F.filter(F.split(text, r"[{}]|\r?\n"), lambda x: x.rlike(r"(?i)\baction\s*[=:]"))
     return F.transform(items, lambda x: F.struct(part(x, "action").alias("action"), part(x, "softwareAgent").alias("software_agent"), part(x, "when").alias("when"), part(x, "parameters").alias("parameters"), part(x, "instanceID").alias("instance_id")))
-
-
-def similarity_expr(a: str, b: str) -> Column:
-    """Containment is 1, else one less the edit distance over the longer length."""
-    return F.expr(f"CASE WHEN contains(lower({a}), lower({b})) OR contains(lower({b}), lower({a})) THEN 1D ELSE 1D - levenshtein(lower({a}), lower({b})) / CAST(greatest(length({a}), length({b}), 1) AS DOUBLE) END")

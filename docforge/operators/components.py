@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 
 def _written(df: DataFrame) -> DataFrame:
+    """df, written to the folder that spark.checkpoint.dir names; only a session on one machine may do without that setting."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docforge-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docforge-"))
     return df.checkpoint(eager=True)
 
 

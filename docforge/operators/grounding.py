@@ -7,20 +7,40 @@ from pyspark.sql import functions as F
 
 from .joins import small
 
-#: Routes of entity types; all others go to the web search.
+#: Type of entity and its route.
 ROUTES = {
-    "bnm": ["BANK"], "whois": ["WEBSITE"], "whitelist": ["ORGANIZATION", "VENDOR"],
-    "enterprise": ["ACCOUNT", "TRANSACTION", "INVOICE", "QUOTATION", "RECEIPT", "PURCHASE_ORDER", "CONTRACT", "CASE", "CERTIFICATE"],
-    "unverifiable": ["PERSON", "CUSTOMER", "EMPLOYEE", "PRODUCT", "ADDRESS", "GOVERNMENT_AGENCY", "UNIVERSITY"],
-}
+    "BANK": "bnm",
+    "WEBSITE": "whois",
+    "ORGANIZATION": "whitelist",
+    "VENDOR": "whitelist",
+    "ACCOUNT": "enterprise",
+    "TRANSACTION": "enterprise",
+    "INVOICE": "enterprise",
+    "QUOTATION": "enterprise",
+    "RECEIPT": "enterprise",
+    "PURCHASE_ORDER": "enterprise",
+    "CONTRACT": "enterprise",
+    "CASE": "enterprise",
+    "CERTIFICATE": "enterprise",
+    "PERSON": "unverifiable",
+    "CUSTOMER": "unverifiable",
+    "EMPLOYEE": "unverifiable",
+    "PRODUCT": "unverifiable",
+    "ADDRESS": "unverifiable",
+    "GOVERNMENT_AGENCY": "unverifiable",
+    "UNIVERSITY": "unverifiable",
+    "PROFESSIONAL_BODY": "unverifiable",
+    "LAW_FIRM": "unverifiable",
+    "OTHER": "web_search",
+}
+#: Scores of risk levels; a type without a level is "unknown", a producer that isn't known scores nothing.
+RISK_SCORES = {"low": 0.2, "medium": 0.5, "high": 0.75, "critical": 0.95, "unknown": 0.3}
 DEFAULT_ROUTE = "web_search"
 DECISIVE = ["EXACT_MATCH", "FUZZY_MATCH", "ALERT"]
 
 
 def route(entity_type: Column, override: Column | None = None) -> Column:
-    known = F.lit(None).cast("string")
-    for name, types in ROUTES.items():
-        known = F.when(entity_type.isin(types), F.lit(name)).otherwise(known)
+    known = F.create_map(*(F.lit(x) for pair in ROUTES.items() for x in pair))[entity_type]
     return F.coalesce(*([override] if override is not None else []), known, F.lit(DEFAULT_ROUTE))
 
 
@@ -71,11 +91,16 @@ def outcome_counts(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def risk(rows: DataFrame, table: DataFrame, producer: str = "producer", kind: str = "document_type") -> DataFrame:
-    """level and score of a producer for a type of document; unknown (.3) where the table says nothing. The scores."""
-    t = small(table.select(F.lower("producer").alias("_p"), F.lower("document_type").alias("_d"), "level"))
-    out = rows.join(t, (F.lower(producer) == F.col("_p")) & (F.lower(kind) == F.col("_d")), "left").drop("_p", "_d")
-    out = out.withColumn("level", F.coalesce("level", F.lit("unknown")))
-    return out.withColumn("risk_score", F.when(F.col("level") == "low", 0.1).when(F.col("level") == "medium", 0.5).when(F.col("level") == "high", 0.9).otherwise(0.3))
+    """level and risk_score of a producer for a type of document: unknown where the table says nothing, with 0 if it doesn't know the producer at all."""
+    t = table.groupBy(F.lower("producer").alias("_p")).agg(F.map_from_entries(F.collect_set(F.struct(F.lower("document_type").alias("k"), "level"))).alias("_levels"))
+    out = rows.join(small(t), F.lower(producer) == F.col("_p"), "left")
+    out = out.withColumn("level", F.coalesce(F.try_element_at("_levels", F.lower(kind)), F.lit("unknown")))
+    scores = F.create_map(*(F.lit(x) for pair in RISK_SCORES.items() for x in pair))
+    return out.withColumn("risk_score", F.when(F.col("_p").isNull(), 0.0).otherwise(F.coalesce(scores[F.col("level")], F.lit(RISK_SCORES["unknown"])))).drop("_p", "_levels")
+
+
+#: Fields that are matched as they are; of others only words are.
+RAW_FIELDS = ("header_binary", "pdf_version", "structure")
 
 
 def score_fingerprints(values: DataFrame, patterns: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -84,6 +109,8 @@ def score_fingerprints(values: DataFrame, patterns: DataFrame, key: str = "doc_i
     A pattern counts towards its producer's weight whether or not its field is there. Patterns are a dimension.
     """
     total = patterns.groupBy("producer").agg(F.sum("weight").alias("total"))
+    plain = F.trim(F.regexp_replace("value", r"(?U)[^\w]+", " "))
+    values = values.withColumn("value", F.when(F.col("field").isin(*RAW_FIELDS), F.col("value")).otherwise(plain))
     met = values.join(small(patterns), "field").filter(F.expr("rlike(value, pattern)"))
     hits = met.select(key, "producer", "field", "pattern", "weight").distinct().groupBy(key, "producer").agg(F.sum("weight").alias("hit"))
     return hits.join(small(total), "producer").select(key, "producer", (F.col("hit") / F.col("total")).alias("score"))

@@ -81,7 +81,7 @@ def _category(column: str) -> Column:
 
 def _relation() -> Column:
     made, done = _category("creator"), _category("producer")
-    return F.coalesce((made != done), F.lit(False)) | (made.isNull() & (done == "online_converter")) | (F.coalesce(done == "scanner", F.lit(False)) & F.col("creator").isNotNull())
+    return F.coalesce((made != done), F.lit(False)) | (made.isNull() & (done == "online_converter")) | (F.coalesce(done == "scan_capture", F.lit(False)) & F.col("creator").isNotNull())
 
 
 def evidence(wide: DataFrame, only: list[str] | None = None) -> DataFrame:

@@ -60,10 +60,53 @@ def confidence(rule: Column, expected: Column, actual: Column, delta: Column) ->
     )
 
 
+#: Types of the evidence that a failed rule is.
+EVIDENCE_TYPES = {
+    "universal.dates_not_in_future": "RECONCILIATION_DATE_OUT_OF_RANGE",
+    "universal.currency_consistency": "RECONCILIATION_CURRENCY_MISMATCH",
+    "universal.percentage_range": "RECONCILIATION_AMOUNT_OUT_OF_RANGE",
+    "universal.account_number_luhn_check": "RECONCILIATION_LUHN_CHECKSUM_FAILED",
+    "universal.person_id_mykad_check": "RECONCILIATION_MYKAD_FORMAT_INVALID",
+    "bank.opening_matches_first_row": "RECONCILIATION_BALANCE_MISMATCH",
+    "bank.running_balance_recursion": "RECONCILIATION_RUNNING_BALANCE_MISMATCH",
+    "bank.closing_matches_last_row": "RECONCILIATION_BALANCE_MISMATCH",
+    "bank.sum_flow_matches_balance_change": "RECONCILIATION_BALANCE_MISMATCH",
+    "bank.flow_signed_consistency": "RECONCILIATION_ROW_FIELD_CONFLICT",
+    "bank.row_flow_exclusive": "RECONCILIATION_ROW_FIELD_CONFLICT",
+    "bank.period_contains_all_txns": "RECONCILIATION_DATE_OUT_OF_PERIOD",
+    "bank.chronology_monotonic": "RECONCILIATION_DATE_ORDER_VIOLATION",
+    "commercial.row_total_arithmetic": "RECONCILIATION_ROW_MATH_MISMATCH",
+    "commercial.subtotal_equals_sum_row_totals": "RECONCILIATION_SUBTOTAL_MISMATCH",
+    "commercial.tax_equals_sum_row_tax": "RECONCILIATION_TAX_MISMATCH",
+    "commercial.tax_rate_multiplier": "RECONCILIATION_TAX_MISMATCH",
+    "commercial.id_date_vs_issue_date": "RECONCILIATION_DATE_ORDER_VIOLATION",
+    "payroll.gross_pay_check": "RECONCILIATION_NET_PAY_MISMATCH",
+    "payroll.employee_deduction_check": "RECONCILIATION_NET_PAY_MISMATCH",
+    "payroll.employer_contribution_check": "RECONCILIATION_NET_PAY_MISMATCH",
+    "payroll.net_pay_check": "RECONCILIATION_NET_PAY_MISMATCH",
+    "payroll.statutory_rate_check": "RECONCILIATION_STATUTORY_RATE_MISMATCH",
+    "payroll.period_length_reasonable": "RECONCILIATION_DATE_OUT_OF_RANGE",
+    "payroll.chronology_monotonic": "RECONCILIATION_DATE_ORDER_VIOLATION",
+    "official.amounts_non_negative": "RECONCILIATION_AMOUNT_OUT_OF_RANGE",
+    "statistical.benford_first_digit": "RECONCILIATION_BENFORD_ANOMALY",
+    "invoice.total_arithmetic": "RECONCILIATION_TOTAL_MISMATCH",
+    "invoice.payment_arithmetic": "RECONCILIATION_TOTAL_MISMATCH",
+    "invoice.issue_le_due": "RECONCILIATION_DATE_ORDER_VIOLATION",
+    "certificate.validity_window_ordered": "RECONCILIATION_DATE_ORDER_VIOLATION",
+    "certificate.validity_length_reasonable": "RECONCILIATION_DATE_OUT_OF_RANGE",
+    "certificate.issue_le_expiry": "RECONCILIATION_DATE_ORDER_VIOLATION",
+    "legal_official.deadline_after_issue": "RECONCILIATION_DATE_ORDER_VIOLATION",
+    "legal_official.validity_window": "RECONCILIATION_DATE_ORDER_VIOLATION",
+    "resume.employment_dates_ordered": "RECONCILIATION_DATE_ORDER_VIOLATION",
+    "resume.education_dates_ordered": "RECONCILIATION_DATE_ORDER_VIOLATION",
+}
+
+
 def to_evidence(results: DataFrame, keys: list[str]) -> DataFrame:
     """Failures as evidence with their confidence."""
     failed = results.filter(F.col("status") == FAILED)
-    kind = F.upper(F.concat(F.lit("RECONCILIATION_"), F.regexp_replace("rule_name", "[.]", "_")))
+    named = F.create_map(*(F.lit(x) for pair in EVIDENCE_TYPES.items() for x in pair))[F.col("rule_name")]
+    kind = F.coalesce(named, F.upper(F.concat(F.lit("RECONCILIATION_"), F.regexp_replace("rule_name", "[.]", "_"))))
     return failed.select(*keys, kind.alias("type"), "rule_name", F.to_json(F.struct("expected", "actual", "delta")).alias("value"), F.lit("reconciliation").alias("source"), "row_index", confidence(F.col("rule_name"), F.col("expected"), F.col("actual"), F.col("delta")).alias("confidence"))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, strings, values
@@ -37,11 +39,18 @@ def normal_facts(facts: DataFrame) -> DataFrame:
 # ---- one fact at a time
 
 
-def fact_results(facts: DataFrame, today: str, slack_days: int = 30) -> DataFrame:
-    """Dates beyond `slack_days` after the evaluation date, and percentages outside 0 to 100 (a hundredth allowed)."""
-    late = F.when(F.col("role").isin(DATE_ROLES) & (F.col("d") > F.date_add(F.lit(today).cast("date"), slack_days)), result("universal.dates_not_in_future", FAILED, F.lit(today), F.col("d")))
+def fact_results(facts: DataFrame, today: str | None = None, slack_days: int = 30) -> DataFrame:
+    """Dates beyond `slack_days` after the day of evaluation, and percentages outside 0 to 100 (a hundredth allowed).
+
+    The day is that of the document's first ISSUE_DATE (by ord, where facts have one); without one it is `today`, or the current day.
+    """
+    first = F.struct(F.col("ord") if "ord" in facts.columns else F.lit(0).alias("ord"), F.col("d"))
+    issued = F.min(F.when((F.col("role") == "ISSUE_DATE") & F.col("d").isNotNull(), first)).over(Window.partitionBy("doc_id"))
+    day = F.coalesce(issued.getField("d"), F.lit(today).cast("date") if today else F.current_date())
+    rows = facts.withColumn("_day", day)
+    late = F.when(F.col("role").isin(DATE_ROLES) & (F.col("d") > F.date_add("_day", slack_days)), result("universal.dates_not_in_future", FAILED, F.col("_day"), F.col("d")))
     pct = F.when(F.col("role").isin(RATE_ROLES) & ~F.coalesce("pct", "amount").between(dec("-0.01"), dec("100.01")), result("universal.percentage_range", FAILED, "0..100", F.coalesce("pct", "amount")))
-    return emit(facts, ["doc_id"], [late, pct])
+    return emit(rows, ["doc_id"], [late, pct])
 
 
 def currency_results(facts: DataFrame) -> DataFrame:
@@ -86,14 +95,25 @@ def _sum(*terms: tuple[int, str]) -> Column:
     return out.cast("decimal(18,6)")
 
 
-def invoice_rules() -> list[Column]:
-    some = lambda need, r: F.when(need, r)
-    there = lambda *c: F.expr(" AND ".join(f"{x} IS NOT NULL" for x in c))
+def _there(*columns: str) -> Column:
+    return F.expr(" AND ".join(f"{c} IS NOT NULL" for c in columns))
+
+
+def tax_rate() -> Column:
+    """Tax by its rate on the subtotal less the discount; a base of nothing is passed over."""
+    base = _sum((1, "SUBTOTAL"), (-1, "DISCOUNT_AMOUNT"))
+    by_rate = F.round(base * values.rate_multiplier(F.col("TAX_RATE"), F.lit("PERCENT")), 2).cast("decimal(18,6)")
+    return F.when(_there("SUBTOTAL", "TAX_RATE", "TAX_AMOUNT") & (base > 0), compared("commercial.tax_rate_multiplier", by_rate, F.col("TAX_AMOUNT"), incomplete=False))
+
+
+def invoice_totals() -> list[Column]:
     total = compared("invoice.total_arithmetic", _sum((1, "SUBTOTAL"), (-1, "DISCOUNT_AMOUNT"), (1, "TAX_AMOUNT"), (1, "SHIPPING_FEE")), F.col("TOTAL_AMOUNT"), incomplete=False)
     paid = compared("invoice.payment_arithmetic", _sum((1, "TOTAL_AMOUNT"), (-1, "AMOUNT_PAID")), F.col("AMOUNT_DUE"), incomplete=False)
-    base = _sum((1, "SUBTOTAL"), (-1, "DISCOUNT_AMOUNT"))
-    tax = F.when(base > 0, compared("commercial.tax_rate_multiplier", F.round(base * values.rate_multiplier(F.col("TAX_RATE"), F.lit("PERCENT")), 2).cast("decimal(18,6)"), F.col("TAX_AMOUNT"), incomplete=False))
-    return [some(there("SUBTOTAL", "TOTAL_AMOUNT"), total), some(there("TOTAL_AMOUNT", "AMOUNT_PAID", "AMOUNT_DUE"), paid), some(there("SUBTOTAL", "TAX_RATE", "TAX_AMOUNT"), tax), start_le_end("invoice.issue_le_due", "ISSUE_DATE", "DUE_DATE")]
+    return [F.when(_there("SUBTOTAL", "TOTAL_AMOUNT"), total), F.when(_there("TOTAL_AMOUNT", "AMOUNT_PAID", "AMOUNT_DUE"), paid)]
+
+
+def invoice_rules() -> list[Column]:
+    return [*invoice_totals(), tax_rate(), start_le_end("invoice.issue_le_due", "ISSUE_DATE", "DUE_DATE")]
 
 
 def net_pay() -> Column:
@@ -178,7 +198,7 @@ def ordered_dates(rows: DataFrame, rule: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """name: rule names it emits; needs: tables that build takes; document_types: empty for all."""
+    """name: of the registry; needs: tables that build takes; document_types: of the documents that it is for, empty for all."""
 
     name: str
     needs: tuple[str, ...]
@@ -187,27 +207,39 @@ class Rule:
 
 
 REGISTRY: dict[str, Rule] = {}
+RESULT_COLUMNS = ("doc_id", "rule_name", "status", "expected", "actual", "delta", "row_index", "reason")
 
 
 def register(rule: Rule) -> None:
     REGISTRY[rule.name] = rule
 
 
-def run_rules(tables: dict[str, DataFrame], enabled: set[str] | None = None, columns: tuple[str, ...] = ("doc_id", "rule_name", "status", "expected", "actual", "delta", "row_index", "reason")) -> DataFrame:
-    """The results of all registered rules whose tables are given; a rule whose plan can't be built gives one skipped row."""
+def run_rules(tables: dict[str, DataFrame], enabled: set[str] | None = None, columns: tuple[str, ...] = RESULT_COLUMNS) -> DataFrame:
+    """The results of all registered rules whose tables are given.
+
+    With a table `documents` (doc_id, document_type) rules for certain types give results for documents of these types only; the types are
+    met once, by one join of all results. A rule whose plan can't be built gives a skipped row for each document, or
+    one row without a document where that table isn't given.
+    """
+    documents = tables.get("documents")
     parts = []
     for rule in REGISTRY.values():
-        if (enabled is None or rule.name in enabled) and all(n in tables for n in rule.needs):
-            try:
-                out = rule.build(*(tables[n] for n in rule.needs))
-            except Exception as e:  # noqa: BLE001  a rule that can't be planned must not stop the others
-                spark = next(iter(tables.values())).sparkSession
-                out = spark.range(1).select(F.lit(None).cast("string").alias("doc_id"), F.lit(rule.name).alias("rule_name"), F.lit("skipped").alias("status"), F.lit(str(e)[:200]).alias("reason"))
-            parts.append(out.select(*(F.col(c).cast("int" if c == "row_index" else "string") if c in out.columns else F.lit(None).cast("int" if c == "row_index" else "string").alias(c) for c in columns)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        if (enabled is not None and rule.name not in enabled) or not all(n in tables for n in rule.needs):
+            continue
+        try:
+            out = rule.build(*(tables[n] for n in rule.needs))
+        except AnalysisException as e:  # a rule that can't be planned must not stop the others
+            of = documents.select("doc_id") if documents is not None else next(iter(tables.values())).sparkSession.range(1).select(F.lit(None).cast("string").alias("doc_id"))
+            out = of.select("doc_id", F.lit(rule.name).alias("rule_name"), F.lit("skipped").alias("status"), F.lit(str(e)[:200]).alias("reason"))
+        kind = lambda c: "int" if c == "row_index" else "string"
+        part = out.select(*(F.col(c).cast(kind(c)) if c in out.columns else F.lit(None).cast(kind(c)).alias(c) for c in columns))
+        parts.append(part.withColumn("_types", F.array(*map(F.lit, rule.document_types)).cast("array<string>")))
+    out = reduce(DataFrame.unionByName, parts)
+    if documents is not None:
+        of_type = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.upper("document_type").alias("_type"))
+        typed = out.filter(F.size("_types") > 0).join(of_type, "doc_id").filter(F.array_contains("_types", F.col("_type"))).drop("_type")
+        out = out.filter(F.size("_types") == 0).unionByName(typed)
+    return out.drop("_types")
 
 
 def _ledger(name: str):
@@ -216,7 +248,33 @@ def _ledger(name: str):
     return getattr(ledger, name)
 
 
-register(Rule("universal.facts", ("facts",), lambda f: fact_results(f, "2024-01-01")))
+def _failed(rows: DataFrame, rule: str, expected: Column, actual: Column) -> DataFrame:
+    return rows.select("doc_id", F.lit(rule).alias("rule_name"), F.lit(FAILED).alias("status"), expected.cast("string").alias("expected"), actual.cast("string").alias("actual"), F.col("row_idx").alias("row_index"))
+
+
+def _chronology(rule: str):
+    return lambda rows: _failed(_ledger("chronology")(rows), rule, F.col("before"), F.col("event_date"))
+
+
+def _period(rows: DataFrame, wide: DataFrame) -> DataFrame:
+    return _failed(_ledger("outside_period")(rows, wide), "bank.period_contains_all_txns", F.concat_ws("..", "PERIOD_START", "PERIOD_END"), F.col("event_date"))
+
+
+def _benford(amounts: DataFrame) -> DataFrame:
+    from .stats import benford
+
+    zones = benford(amounts.withColumn("digit", values.first_digit(F.col("amount").cast("string"))), ["doc_id", "table_ord", "column"], "digit")
+    status = F.when(F.col("zone") == "failed", FAILED).otherwise(PASSED)
+    return zones.select("doc_id", F.lit("statistical.benford_first_digit").alias("rule_name"), status.alias("status"), F.col("zone").alias("actual"), F.col("mad").alias("delta"))
+
+
+def on_facts(*rules: Callable[[], Column]) -> Callable[[DataFrame], DataFrame]:
+    return lambda wide: emit(wide, ["doc_id"], [r() for r in rules])
+
+
+INVOICES = ("INVOICE", "QUOTATION", "RECEIPT", "E_RECEIPT")
+# for all documents: by their facts, keys and typed tables
+register(Rule("universal.facts", ("facts",), fact_results))
 register(Rule("universal.currency", ("facts",), currency_results))
 register(Rule("universal.keys", ("keys",), key_results))
 register(Rule("bank.running_balance", ("bank_rows",), lambda r: _ledger("balance_results")(r)))
@@ -224,9 +282,23 @@ register(Rule("bank.tables", ("bank_rows", "wide"), lambda r, w: _ledger("table_
 register(Rule("bank.flows", ("bank_rows",), lambda r: _ledger("flow_results")(r)))
 register(Rule("commercial.rows", ("commercial_rows",), lambda r: row_arithmetic(r, ["doc_id", "table_ord"])))
 register(Rule("commercial.sums", ("commercial_rows", "wide"), lambda r, w: sums_against_facts(r, w, COMMERCIAL_SUMS)))
-register(Rule("invoice.facts", ("wide",), lambda w: emit(w, ["doc_id"], invoice_rules())))
+register(Rule("commercial.tax_rate", ("wide",), on_facts(tax_rate)))
 register(Rule("payroll.sums", ("payroll_rows", "wide"), payroll_sums))
-register(Rule("periods", ("wide",), lambda w: emit(w, ["doc_id"], period_rules())))
+register(Rule("payroll.statutory", ("statutory_rows", "rates"), statutory_rates))
 register(Rule("official.amounts", ("official_rows",), non_negative))
-register(Rule("resume.employment", ("employment_rows",), lambda r: ordered_dates(r, "resume.employment_dates_ordered")))
-register(Rule("resume.education", ("education_rows",), lambda r: ordered_dates(r, "resume.education_dates_ordered")))
+register(Rule("statistical.benford", ("amounts",), _benford))
+# for documents of certain types
+register(Rule("bank.period", ("bank_rows", "wide"), _period, ("BANK_STATEMENT",)))
+register(Rule("bank.chronology", ("bank_rows",), _chronology("bank.chronology_monotonic"), ("BANK_STATEMENT",)))
+register(Rule("invoice.totals", ("wide",), lambda w: emit(w, ["doc_id"], invoice_totals()), INVOICES))
+register(Rule("invoice.dates", ("wide",), on_facts(lambda: start_le_end("invoice.issue_le_due", "ISSUE_DATE", "DUE_DATE")), INVOICES))
+register(Rule("invoice.reference", ("references",), on_facts(reference_date_rule), INVOICES))
+register(Rule("payroll.period", ("wide",), on_facts(lambda: length_between("payroll.period_length_reasonable", "PERIOD_START", "PERIOD_END", 25, 35)), ("PAYSLIP",)))
+register(Rule("payroll.chronology", ("dated_rows",), _chronology("payroll.chronology_monotonic"), ("PAYSLIP",)))
+register(Rule("certificate.window", ("wide",), on_facts(lambda: start_le_end("certificate.validity_window_ordered", "VALID_FROM", "VALID_UNTIL")), ("CERTIFICATE",)))
+register(Rule("certificate.length", ("wide",), on_facts(lambda: length_between("certificate.validity_length_reasonable", "VALID_FROM", "VALID_UNTIL", 1, 18250)), ("CERTIFICATE",)))
+register(Rule("certificate.expiry", ("expiries",), on_facts(issue_le_expiry), ("CERTIFICATE",)))
+register(Rule("legal_official.deadline", ("wide",), on_facts(lambda: start_le_end("legal_official.deadline_after_issue", "ISSUE_DATE", "DEADLINE")), ("LEGAL_DOC", "OFFICIAL_DOC")))
+register(Rule("legal_official.window", ("wide",), on_facts(lambda: start_le_end("legal_official.validity_window", "VALID_FROM", "VALID_UNTIL")), ("LEGAL_DOC", "OFFICIAL_DOC")))
+register(Rule("resume.employment", ("employment_rows",), lambda r: ordered_dates(r, "resume.employment_dates_ordered"), ("RESUME",)))
+register(Rule("resume.education", ("education_rows",), lambda r: ordered_dates(r, "resume.education_dates_ordered"), ("RESUME",)))

@@ -11,12 +11,38 @@ from . import joins
 from .layout import numbered
 
 #: Layout labels and the types that they stand for.
-LABELS = {"title": "TITLE", "section_header": "HEADING", "text": "PARAGRAPH", "paragraph": "PARAGRAPH", "list_item": "LIST_ITEM", "table": "TABLE", "picture": "PICTURE", "chart": "CHART", "caption": "CAPTION", "footnote": "FOOTNOTE", "formula": "FORMULA", "page_header": "PAGE_HEADER", "page_footer": "PAGE_FOOTER", "code": "CODE", "checkbox_selected": "CHECKBOX", "checkbox_unselected": "CHECKBOX", "form": "FORM", "key_value_region": "KEY_VALUE", "document_index": "INDEX", "reference": "REFERENCE", "handwritten_text": "HANDWRITING", "stamp": "STAMP"}
+LABELS = {
+    "table": "table",
+    "picture": "picture",
+    "chart": "chart",
+    "paragraph": "paragraph",
+    "text": "paragraph",
+    "title": "title",
+    "section_header": "title",
+    "list_item": "list",
+    "caption": "caption",
+    "footnote": "footnote",
+    "reference": "reference",
+    "code": "code",
+    "formula": "formula",
+    "document_index": "index",
+    "page_header": "header",
+    "page_footer": "footer",
+    "form_key": "form_field",
+    "key_value_region": "form_field",
+    "checkbox_selected": "checkbox",
+    "checkbox_unselected": "checkbox",
+    "empty_value": "empty_value",
+    "handwritten_text": "handwritten",
+    "gradient_text": "gradient_text",
+    "marker": "marker",
+}
 
 
 def region_type(label: Column) -> Column:
+    """The type of a layout label in any case; a label that isn't known stays as it is."""
     by = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
-    return F.coalesce(F.try_element_at(by, F.lower(label)), F.lit("OTHER"))
+    return F.coalesce(F.try_element_at(by, F.lower(label)), F.lower(label))
 
 
 def cluster_rows(items: DataFrame, by: str) -> DataFrame:

@@ -111,8 +111,8 @@ def status_counts_by_document(spark, sf_dir):
 
 @query(f"""{ENDS},
 r AS (SELECT doc_id, closing AS expected, last AS actual, abs(closing - last) AS delta FROM d WHERE last IS NOT NULL AND abs(closing - last) > 0.01)
-SELECT doc_id, 'RECONCILIATION_BANK_CLOSING_MATCHES_LAST_ROW' AS type, CASE WHEN delta * 100 >= greatest(abs(expected), abs(actual), 1) THEN 0.9 WHEN delta * 1000 >= greatest(abs(expected), abs(actual), 1) THEN 0.75 ELSE 0.55 END AS confidence FROM r
-UNION ALL SELECT doc_id, 'RECONCILIATION_BANK_SUM_FLOW_MATCHES_BALANCE_CHANGE', 0.75 FROM d WHERE abs((tin - tout) - (closing - opening)) > 0.01""")
+SELECT doc_id, 'RECONCILIATION_BALANCE_MISMATCH' AS type, CASE WHEN delta * 100 >= greatest(abs(expected), abs(actual), 1) THEN 0.9 WHEN delta * 1000 >= greatest(abs(expected), abs(actual), 1) THEN 0.75 ELSE 0.55 END AS confidence FROM r
+UNION ALL SELECT doc_id, 'RECONCILIATION_BALANCE_MISMATCH', 0.75 FROM d WHERE abs((tin - tout) - (closing - opening)) > 0.01""")
 def evidence_confidence(spark, sf_dir):
     rows = bank_rows(spark, sf_dir)
     results = ledger.table_results(rows, declared(rows)).filter("rule_name <> 'bank.opening_matches_first_row'")

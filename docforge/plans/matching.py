@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays, dates, jsonx, strings, values
+from ..functions import arrays, dates, fuzzy, jsonx, strings, values
 from ..operators import evidence, grounding, joins
 from .base import query, table
 
@@ -90,12 +91,12 @@ def enterprise_lookup(spark, sf_dir):
     return grounding.enterprise(t, [first, second])
 
 
-PATTERNS = [("alpha", "url", "(?i)example\\.com", 1.0), ("alpha", "html", "(?i)<nav>", 0.5), ("beta", "url", "/en/", 0.7), ("beta", "html", "<h1>", 0.3), ("gamma", "missing", "x", 1.0), ("gamma", "url", "page=", 1.0)]
+PATTERNS = [("alpha", "url", "(?i)example com", 1.0), ("alpha", "html", "(?i)\\bnav\\b", 0.5), ("beta", "url", " en ", 0.7), ("beta", "html", "\\bh1\\b", 0.3), ("gamma", "missing", "x", 1.0), ("gamma", "url", "page ", 1.0)]
 PATTERNS_SQL = "p AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}::DOUBLE)" for a, b, c, d in PATTERNS) + ") t(producer, field, pattern, weight))"
 
 
 @query(f"""WITH {PATTERNS_SQL}, v AS (SELECT page_id AS doc_id, 'url' AS field, url AS value FROM pages UNION ALL SELECT page_id, 'html', html FROM pages), w AS (SELECT producer, sum(weight) AS total FROM p GROUP BY 1)
-SELECT doc_id, v2.producer, round(sum(weight) / any_value(total), 6) AS score FROM (SELECT v.doc_id, p.producer, p.weight FROM v JOIN p ON v.field = p.field AND regexp_matches(v.value, p.pattern)) v2 JOIN w ON v2.producer = w.producer GROUP BY ALL""")
+SELECT doc_id, v2.producer, round(sum(weight) / any_value(total), 6) AS score FROM (SELECT v.doc_id, p.producer, p.weight FROM v JOIN p ON v.field = p.field AND regexp_matches(trim(regexp_replace(v.value, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', ' ', 'g')), p.pattern)) v2 JOIN w ON v2.producer = w.producer GROUP BY ALL""")
 def fingerprint_score(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     v = pages.select(F.col("page_id").alias("doc_id"), F.explode(F.array(F.struct(F.lit("url").alias("field"), F.col("url").alias("value")), F.struct(F.lit("html").alias("field"), F.col("html").alias("value")))).alias("f")).select("doc_id", "f.*")
@@ -103,11 +104,11 @@ def fingerprint_score(spark, sf_dir):
     return grounding.score_fingerprints(v, patterns).select("doc_id", "producer", F.round("score", 6).alias("score"))
 
 
-@query("""WITH t(producer, document_type, level) AS (VALUES ('p0', 'building', 'low'), ('p1', 'machinery', 'high'), ('p2', 'building', 'medium')), r AS (SELECT c_custkey, 'P' || (c_custkey % 4) AS producer, c_mktsegment AS document_type FROM customer)
-SELECT c_custkey, coalesce(level, 'unknown') AS level, CASE level WHEN 'low' THEN 0.1 WHEN 'medium' THEN 0.5 WHEN 'high' THEN 0.9 ELSE 0.3 END AS risk_score FROM r LEFT JOIN t ON lower(r.producer) = t.producer AND lower(r.document_type) = t.document_type""")
+@query("""WITH t(producer, document_type, level) AS (VALUES ('p0', 'building', 'low'), ('p1', 'machinery', 'high'), ('p2', 'building', 'medium'), ('p2', 'furniture', 'critical')), r AS (SELECT c_custkey, 'P' || (c_custkey % 4) AS producer, c_mktsegment AS document_type FROM customer)
+SELECT c_custkey, coalesce(level, 'unknown') AS level, CASE WHEN lower(r.producer) NOT IN (SELECT producer FROM t) THEN 0.0 WHEN level = 'low' THEN 0.2 WHEN level = 'medium' THEN 0.5 WHEN level = 'high' THEN 0.75 WHEN level = 'critical' THEN 0.95 ELSE 0.3 END AS risk_score FROM r LEFT JOIN t ON lower(r.producer) = t.producer AND lower(r.document_type) = t.document_type""")
 def producer_risk(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("P"), (F.col("c_custkey") % 4).cast("string")).alias("producer"), F.col("c_mktsegment").alias("document_type"))
-    t = spark.createDataFrame([("p0", "BUILDING", "low"), ("p1", "MACHINERY", "high"), ("p2", "BUILDING", "medium")], "producer string, document_type string, level string")
+    t = spark.createDataFrame([("p0", "BUILDING", "low"), ("p1", "MACHINERY", "high"), ("p2", "BUILDING", "medium"), ("p2", "FURNITURE", "critical")], "producer string, document_type string, level string")
     return grounding.risk(rows, t).select("c_custkey", "level", "risk_score")
 
 
@@ -170,13 +171,22 @@ def numeric_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.aggregate(small, F.lit("0").cast("decimal(28,6)"), lambda a, x: (a + x).cast("decimal(28,6)")).cast("decimal(18,6)").alias("total"))
 
 
-@query(r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+|[0-9]+(?:[.,][0-9]+)?') AS t FROM benchmark), d AS (SELECT doc_id, lower(text) AS x FROM documents WHERE doc_id < 200)
-SELECT doc_id, item_id, round(len(list_filter(t, lambda y: contains(x, y))) / len(t)::DOUBLE, 6) AS share FROM d, w WHERE len(t) > 0 AND doc_id % 40 = item_id % 40""")
+@query()
 def token_coverage(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id < 200").select("doc_id", "text", (F.col("doc_id") % 40).alias("k"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value"), (F.col("item_id") % 40).alias("k"))
-    out = d.join(b, "k").withColumn("share", strings.token_coverage(F.col("value"), F.col("text"))).filter("share is not null")
-    return out.select("doc_id", "item_id", F.round("share", 6).alias("share"))
+    """Each turn's text against the texts of the two turns before it in its conversation, by containment, then partial ratio."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, -1)
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.collect_list("text").over(w).alias("before"))
+    share = fuzzy.token_coverage(F.col("text"), F.col("before"))
+    return c.select("conv_id", "turn", F.round(share, 6).alias("share"), (share >= 0.8).alias("covered"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, text, list(lower(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS t, regexp_extract_all(text, '[A-Za-z]+|[0-9]+(?:[.,][0-9]+)?') AS w FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda y: len(list_filter(coalesce(t, []), lambda x: contains(x, lower(y)))) > 0)) / len(w)::DOUBLE, 6) END AS share FROM c""")
+def contained_tokens(spark, sf_dir):
+    """The same by containment alone, which decides most values without Python."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, -1)
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.collect_list("text").over(w).alias("before"))
+    return c.select("conv_id", "turn", F.round(fuzzy.contained_share(F.col("text"), F.col("before")), 6).alias("share"))
 
 
 @query(r"""WITH u AS (SELECT page_id, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]+)', 1) AS h FROM pages) SELECT page_id, array_to_string(list_slice(string_split(lower(h), '.'), -2, -1), '.') AS domain FROM u""")

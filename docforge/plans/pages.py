@@ -12,12 +12,11 @@ _X = "(l_partkey * 7 + l_suppkey * 3) % 500"
 _Y = "(l_partkey * 13 + l_linenumber * 29) % 700"
 _W = "10 + l_quantity * 2"
 _H = "8 + l_linenumber * 4"
-BOXES = f"""b AS (SELECT l_orderkey // 50 AS page, row_number() OVER (PARTITION BY l_orderkey // 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) - 1 AS id, ({_X})::DOUBLE AS x0, ({_Y})::DOUBLE AS y0, ({_X} + {_W})::DOUBLE AS x1, ({_Y} + {_H})::DOUBLE AS y1 FROM lineitem WHERE l_orderkey % 10 < 4)"""
+BOXES = f"""b AS (SELECT l_orderkey // 50 AS page, row_number() OVER (PARTITION BY l_orderkey // 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) - 1 AS id, ({_X})::DOUBLE AS x0, ({_Y})::DOUBLE AS y0, ({_X} + {_W})::DOUBLE AS x1, ({_Y} + {_H})::DOUBLE AS y1 FROM lineitem)"""
 
 
 def boxes(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 < 4")
-    li = layout.numbered(li.withColumn("page", F.floor(F.col("l_orderkey") / 50)), ["page"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"], "item_id")
+    li = layout.numbered(table(spark, sf_dir, "lineitem").withColumn("page", F.floor(F.col("l_orderkey") / 50)), ["page"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"], "item_id")
     x, y, w, h = (F.expr(e) for e in (_X, _Y, _W, _H))
     return li.select("page", "item_id", g.box(x, y, x + w, y + h).alias("box"))
 
@@ -95,9 +94,9 @@ def mutual_best_tables(spark, sf_dir):
 w AS (SELECT page, x, x AS y FROM e UNION SELECT w.page, w.x, e.y FROM w JOIN e ON w.page = e.page AND w.y = e.x),
 l AS (SELECT page, x, min(y) AS label FROM w GROUP BY ALL) SELECT page, label AS first, count(*) AS n FROM l GROUP BY ALL""")
 def consensus_clusters(spark, sf_dir):
-    pairs = spatial_iou(spark, sf_dir).select((F.col("page") * 1_000_000 + F.col("first")).alias("a"), (F.col("page") * 1_000_000 + F.col("second")).alias("b"))
+    pairs = spatial_iou(spark, sf_dir).select(F.struct("page", F.col("first").alias("id")).alias("a"), F.struct("page", F.col("second").alias("id")).alias("b"))
     labels = components.connected(pairs)
-    return labels.groupBy(F.floor(F.col("label") / 1_000_000).alias("page"), (F.col("label") % 1_000_000).alias("first")).agg(F.count("*").alias("n"))
+    return labels.groupBy(F.col("label.page").alias("page"), F.col("label.id").alias("first")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH i AS (SELECT user_id, epoch_us(ts) / 1000000.0 AS a, epoch_us(ts) / 1000000.0 + value * 60 AS b FROM events), s AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM i)
@@ -143,18 +142,21 @@ def reuse_pairs(spark, sf_dir):
     return layout.reused(d, ["page"], "h").select("h", "first", "second")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS k, l_linenumber AS row, l_returnflag || '.' || l_linestatus AS text, l_suppkey % 3 AS col FROM lineitem WHERE l_orderkey % 20 = 0), u AS (SELECT k, row, col, min(text) AS text FROM c GROUP BY ALL), r AS (SELECT k, row, string_agg(text, ' | ' ORDER BY col) AS line FROM u GROUP BY ALL)
+@query("""WITH c AS (SELECT l_orderkey AS k, l_linenumber AS row, l_returnflag || '.' || l_linestatus AS text, l_suppkey % 3 AS col FROM lineitem), u AS (SELECT k, row, col, min(text) AS text FROM c GROUP BY ALL), r AS (SELECT k, row, string_agg(text, ' | ' ORDER BY col) AS line FROM u GROUP BY ALL)
 SELECT k, string_agg(line, chr(10) ORDER BY row) AS text FROM r GROUP BY k""")
 def table_text(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("row"), (F.col("l_suppkey") % 3).alias("col"), F.concat_ws(".", "l_returnflag", "l_linestatus").alias("text"))
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("row"), (F.col("l_suppkey") % 3).alias("col"), F.concat_ws(".", "l_returnflag", "l_linestatus").alias("text"))
     return layout.table_text(c.groupBy("k", "row", "col").agg(F.min("text").alias("text")), ["k"])
 
 
-@query(f"""WITH {BOXES}, e AS (SELECT 1 AS d, page % 20 AS page, x0, y0, row_number() OVER (ORDER BY page % 20, y0, x0, page, id) AS rank FROM b WHERE id % 5 = 0), o AS (SELECT page % 20 AS page, y0, page * 1000 + id AS oid FROM b WHERE id % 31 = 1),
-a AS (SELECT o.*, min(e.rank) AS anchor FROM o LEFT JOIN e ON e.page > o.page OR (e.page = o.page AND e.y0 > o.y0) GROUP BY ALL), u AS (SELECT NULL::BIGINT AS oid, page, y0, rank::DOUBLE AS k, 1 AS kind FROM e UNION ALL SELECT oid, page, y0, coalesce(anchor::DOUBLE, 'inf'::DOUBLE), 0 FROM a)
-SELECT oid AS orphan_id, page, y0, row_number() OVER (ORDER BY k, kind, page, y0, oid) - 1 AS reading_order_index FROM u""")
+@query(f"""WITH {BOXES}, p AS (SELECT page // 20 AS doc, page % 20 AS page, id, x0, y0 FROM b), e AS (SELECT doc, page, x0, y0, row_number() OVER (PARTITION BY doc ORDER BY page, y0, x0, id) AS rank FROM p WHERE id % 5 <> 1), o AS (SELECT doc, page, y0, page * 1000000 + id AS oid FROM p WHERE id % 5 = 1),
+x AS (SELECT doc, page, y0, min(rank) AS rank FROM e GROUP BY ALL),
+m AS (SELECT o.doc, o.page, o.y0, o.oid, (SELECT min(x.rank) FROM x WHERE x.doc = o.doc AND (x.page > o.page OR (x.page = o.page AND x.y0 > o.y0))) AS anchor FROM o),
+u AS (SELECT doc, NULL::BIGINT AS oid, page, y0, rank::DOUBLE AS k, 1 AS kind FROM e UNION ALL SELECT doc, oid, page, y0, coalesce(anchor::DOUBLE, 'inf'::DOUBLE), 0 FROM m)
+SELECT doc, oid AS orphan_id, page, y0, row_number() OVER (PARTITION BY doc ORDER BY k, kind, page, y0, oid) - 1 AS reading_order_index FROM u""")
 def reading_order(spark, sf_dir):
-    b = boxes(spark, sf_dir).select((F.col("page") % 20).alias("p"), "page", "item_id", F.col("box.x0").alias("x0"), F.col("box.y0").alias("y0")).withColumn("d", F.lit(1))
-    e = layout.numbered(b.filter("item_id % 5 = 0"), ["d"], ["p", "y0", "x0", "page", "item_id"], "rank", start=1)
-    o = b.filter("item_id % 31 = 1").select("d", F.col("p").alias("page"), "y0", (F.col("page") * 1000 + F.col("item_id")).alias("orphan_id"))
-    return layout.reading_order(e.select("d", F.col("p").alias("page"), "y0", "rank"), o, ["d"]).select("orphan_id", "page", "y0", "reading_order_index")
+    """All boxes of a document of 20 pages: four fifths are elements, the others orphans that go before the next element below."""
+    b = boxes(spark, sf_dir).select(F.floor(F.col("page") / 20).alias("doc"), (F.col("page") % 20).alias("page"), "item_id", F.col("box.x0").alias("x0"), F.col("box.y0").alias("y0"))
+    e = layout.numbered(b.filter("item_id % 5 <> 1"), ["doc"], ["page", "y0", "x0", "item_id"], "rank", start=1)
+    o = b.filter("item_id % 5 = 1").select("doc", "page", "y0", (F.col("page") * 1_000_000 + F.col("item_id")).alias("orphan_id"))
+    return layout.reading_order(e.select("doc", "page", "y0", "rank"), o, ["doc"]).select("doc", "orphan_id", "page", "y0", "reading_order_index")

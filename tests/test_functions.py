@@ -69,3 +69,44 @@ def test_reports(spark):
     got = table(spark, texts, jsonx.report)
     assert (got[0].overall_risk, len(got[0].risks), got[1].overall_risk, got[2]) == ("high", 1, "medium", None)
     assert table(spark, ["INVOICE", "invoic", "Bank Statement", "zzz"], lambda v: jsonx.nearest_enum(v, ["INVOICE", "BANK_STATEMENT"])) == ["INVOICE", "INVOICE", "BANK_STATEMENT", None]
+
+
+def test_fuzzy_scores_against_plain_definitions():
+    import random
+
+    from docforge.functions import fuzzy
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    def partial(a, b):
+        a, b = sorted((a, b), key=len)
+        parts = [b[i : i + len(a)] for i in range(len(b) - len(a) + 1)] + [b[:k] for k in range(1, len(a))] + [b[-k:] for k in range(1, len(a))]
+        best = max((200 * lcs(a, p) / (len(a) + len(p)) for p in parts), default=0)
+        if len(a) == len(b):
+            best = max([best, *(200 * lcs(b, p) / (len(b) + len(p)) for p in [a[:k] for k in range(1, len(b))] + [a[-k:] for k in range(1, len(b))])])
+        return best
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(2))
+        assert abs(fuzzy.ratio(a, b) - 200 * lcs(a, b) / (len(a) + len(b))) < 1e-9
+        assert abs(fuzzy.partial_ratio(a, b) - partial(a, b)) < 1e-9
+    assert fuzzy.coverage("Telephone Bill 12.50", ["BP Telefhone", "bill", "RM 12.50"]) == 1.0
+    assert fuzzy.coverage("Telephone", ["xyz"]) == 0.0 and fuzzy.coverage("--", []) == 1.0 and fuzzy.coverage("a1", None) == 0.0
+    assert fuzzy.text_similarity("due total", "total due") == 1.0 and fuzzy.text_similarity("", "x") == 1.0
+
+
+def test_fuzzy_columns_agree_with_the_functions(spark):
+    from docforge.functions import fuzzy, strings
+
+    rows = [("Telephone Bill", ["Telefhone", "bill"]), ("Telephone Bill", ["nothing"]), ("--", []), ("word", None), (None, ["x"]), ("Same text", ["same TEXT"])]
+    got = spark.createDataFrame(rows, "value string, texts array<string>").select("value", "texts", fuzzy.token_coverage(F.col("value"), F.col("texts")).alias("c"), fuzzy.is_text_covered(F.col("value"), F.col("texts")).alias("ok")).collect()
+    assert [(r.c, r.ok) for r in got] == [(fuzzy.coverage(v, t), fuzzy.coverage(v, t) >= 0.8) for v, t in rows]
+    checked = spark.createDataFrame([("ab1",), ("12 34",), ("1234",), ("ab",), ("日本語",), (None,)], "t string").select(strings.should_check_text(F.col("t")).alias("c")).collect()
+    assert [r.c for r in checked] == [True, True, False, False, False, False]

@@ -116,15 +116,23 @@ def test_rules_that_cannot_be_planned_are_skipped(spark):
     facts = spark.createDataFrame([("d", 0, "TAX_RATE")], "doc_id string, ord int, role string")
     out = rules.run_rules({"facts": facts}).collect()
     assert {r.status for r in out} == {"skipped"}
+    documents = spark.createDataFrame([("d", "invoice"), ("e", "resume")], "doc_id string, document_type string")
+    assert {r.doc_id for r in rules.run_rules({"facts": facts, "documents": documents}).collect()} == {"d", "e"}
+
+
+def test_future_is_judged_from_the_issue_date(spark):
+    facts = spark.createDataFrame([("d", 0, "ISSUE_DATE", "2020-01-01"), ("d", 1, "DUE_DATE", "2020-03-01"), ("e", 0, "DUE_DATE", "2020-03-01"), ("e", 1, "DEADLINE", "2019-01-01")], "doc_id string, ord int, role string, day string")
+    facts = facts.selectExpr("*", "CAST(day AS DATE) AS d", "CAST(NULL AS DECIMAL(18,6)) AS pct", "CAST(NULL AS DECIMAL(18,6)) AS amount")
+    assert [(r.doc_id, r.actual) for r in rules.fact_results(facts, "2020-02-15").collect()] == [("d", "2020-03-01")]
 
 
 def test_cells_and_structure(spark):
     lines = spark.createDataFrame([("d", 1, "Widget A 2 300.00"), ("d", 2, "3 May 2024")], "doc_id string, observation_id int, text string")
-    cells = [("d", 0, 0, "PRODUCT", "Widget A", [1], [1]), ("d", 0, 0, "QUANTITY", "7", [1], [1]), ("d", 0, 1, "EVENT_DATE", "2024-05-03", [2], [1]), ("d", 0, 2, "EVENT_DATE", "03/05/2024", [2], [1]), ("d", 1, 0, "PRODUCT", "x", [], [])]
+    cells = [("d", 0, 0, "PRODUCT", "Widget A", [1], [1]), ("d", 0, 0, "QUANTITY", "7", [1], [1]), ("d", 0, 3, "UNIT_PRICE", "7300.00", [1], [1]), ("d", 0, 4, "DESC", "Gadget nine", [1], [1]), ("d", 0, 5, "DESC", "Widqet A", [], [1]), ("d", 0, 6, "PERIOD_END", "2024-05-03", [2], [1]), ("d", 0, 1, "EVENT_DATE", "2024-05-03", [2], [1]), ("d", 0, 2, "EVENT_DATE", "03/05/2024", [2], [1]), ("d", 1, 0, "PRODUCT", "x", [], [])]
     got = {(r.table_ord, r.row_idx, r.kind) for r in validation.cells_against_lines(spark.createDataFrame(cells, "doc_id string, table_ord int, row_idx int, column string, value string, obs array<int>, table_obs array<int>"), lines).collect()}
-    assert got == {(0, 0, "vlm_ocr_numeric_mismatch"), (0, 2, "vlm_date_format_violation"), (1, None, "missing_source")}
-    targets = spark.createDataFrame([("d", 0, "Widget A", [("k", "999999")], [1])], "doc_id string, ord int, value string, keys array<struct<key:string,value:string>>, obs array<int>")
-    assert [(r.pos, r.kind) for r in validation.targets_against_lines(targets, lines).collect()] == [(1, "vlm_ocr_numeric_mismatch")]
+    assert got == {(0, 3, "vlm_ocr_numeric_mismatch"), (0, 4, "vlm_ocr_text_mismatch"), (0, 2, "vlm_date_format_violation"), (1, None, "missing_source")}
+    targets = spark.createDataFrame([("d", 0, "Widget A", [("k", "999999"), ("n", "no such name")], [1])], "doc_id string, ord int, value string, keys array<struct<key:string,value:string>>, obs array<int>")
+    assert [(r.pos, r.kind) for r in validation.targets_against_lines(targets, lines).collect()] == [(1, "vlm_ocr_numeric_mismatch"), (2, "vlm_ocr_text_mismatch")]
     regions = spark.createDataFrame([("d", 1, True, "Widget A 2 300.00"), ("d", 2, True, "claimed"), ("d", 3, True, "")], "doc_id string, region_id int, is_text boolean, text string")
     assigned = spark.createDataFrame([("d", 1, 1)], "doc_id string, observation_id int, region_id int")
     pages = spark.createDataFrame([("d", 1)], "doc_id string, page int")

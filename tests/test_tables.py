@@ -24,7 +24,7 @@ def test_split_at_a_blank(spark):
 def test_containers_and_labels(spark):
     r = spark.createDataFrame([("d", 1, 1, 0, (0.0, 0.0, 100.0, 100.0)), ("d", 1, 2, 1, (5.0, 5.0, 20.0, 20.0)), ("d", 1, 3, 2, (30.0, 5.0, 60.0, 20.0)), ("d", 1, 4, 3, (200.0, 0.0, 220.0, 20.0))], f"doc_id string, page int, region_id int, ord int, box {BOX}")
     assert {(x.region_id, x.is_container, x.container_group_id) for x in tables.containers(r).collect()} == {(1, True, 0), (2, False, 0), (3, False, 0), (4, False, None)}
-    assert spark.range(1).select(tables.region_type(F.lit("Section_Header")).alias("t")).first().t == "HEADING"
+    assert spark.range(1).select(tables.region_type(F.lit("Section_Header")).alias("t")).first().t == "title"
 
 
 def test_boxes_fit_the_number_of_characters(spark):
