@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import small
+
 #: Dixon's critical values for 3 to 10 values; Benford's zones of the mean absolute deviation.
 DIXON = {3: 0.970, 4: 0.829, 5: 0.710, 6: 0.628, 7: 0.569, 8: 0.608, 9: 0.564, 10: 0.530}
 BENFORD_ZONES, BENFORD_LEAST = (0.006, 0.012), 30
 
 
+def exact_median(rows: DataFrame, by: list[str], value: str, accuracy: int = 1000) -> DataFrame:
+    """by, n and median (the mean of the two middle values) of each group, however large: no task holds a whole group's values.
+
+    A sketch of bounded size gives two values that enclose the middle. Values below the first are counted only; those between (a few
+    in a thousand) are counted by value, and a running sum over them finds the middle ones exactly.
+    """
+    v = F.col(value).cast("double")
+    plain = rows.select(*by, v.alias("_v")).filter("_v is not null")
+    ends = F.percentile_approx("_v", [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy)
+    bounds = plain.groupBy(*by).agg(F.count("*").alias("n"), ends.alias("_e"))
+    bounds = small(bounds.select(*(F.col(b).alias(f"_b{i}") for i, b in enumerate(by)), "n", F.col("_e")[0].alias("_lo"), F.col("_e")[1].alias("_hi")))
+    same = reduce(lambda x, y: x & y, (F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)))
+    near = plain.join(bounds, same).filter("_v <= _hi")
+    counts = near.groupBy(*by, "n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v")))
+    middle = lambda k: F.min(F.when(F.col("_upto") >= k, F.col("_v")))
+    found = counts.withColumn("_upto", upto).groupBy(*by, "n").agg(middle(F.expr("(n - 1) div 2 + 1")).alias("_a"), middle(F.expr("n div 2 + 1")).alias("_z"))
+    return found.select(*by, "n", ((F.col("_a") + F.col("_z")) / 2).alias("median"))
+
+
 def with_mad(rows: DataFrame, by: list[str], value: str, least: int = 1, floor: float = 0.5) -> DataFrame:
     """rows with n, median, mad and modified z = 0.6745 |x - median| / max(mad, floor); groups under `least` rows are left out."""
-    med = rows.groupBy(*by).agg(F.count(value).alias("n"), F.median(value).alias("median")).filter(F.col("n") >= least)
-    dev = rows.join(med, by).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
-    mad = dev.groupBy(*by).agg(F.median("_dev").alias("mad"))
-    return dev.join(mad, by).withColumn("z", F.lit(0.6745) * F.col("_dev") / F.greatest(F.col("mad"), F.lit(floor))).drop("_dev")
+    dev = rows.join(small(exact_median(rows, by, value).filter(F.col("n") >= least)), by).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
+    mad = exact_median(dev, by, "_dev").drop("n").withColumnRenamed("median", "mad")
+    return dev.join(small(mad), by).withColumn("z", F.lit(0.6745) * F.col("_dev") / F.greatest(F.col("mad"), F.lit(floor))).drop("_dev")
 
 
 def cv(value: Column) -> Column:
@@ -112,3 +135,43 @@ def half_width(bins: DataFrame, by: list[str]) -> DataFrame:
     top = bins.withColumn("top", F.max("n").over(w)).withColumn("at", F.min_by("bin", F.struct((-F.col("n")).alias("n"), "bin")).over(w))
     high = top.filter(F.col("n") * 2 >= F.col("top")).withColumn("island", F.col("bin") - F.row_number().over(Window.partitionBy(*by).orderBy("bin")))
     return high.groupBy(*by, "island").agg(F.count("*").alias("width"), F.max(F.col("bin") == F.col("at")).alias("peak")).filter("peak").select(*by, "width")
+
+
+def rare_styles(spans: DataFrame, by: list[str], style: list[str], chars: str, share: float = 0.02, least_chars: int = 30) -> DataFrame:
+    """Each style of a document with n_spans, n_chars, its share, and whether it is rare: under 2 % of the characters, or under 30 of them. Heaviest first in `place`."""
+    n = spans.groupBy(*by, *style).agg(F.count("*").alias("n_spans"), F.sum(chars).alias("n_chars"))
+    whole = Window.partitionBy(*by)
+    out = n.withColumn("share", F.try_divide(F.col("n_chars"), F.sum("n_chars").over(whole)))
+    out = out.withColumn("rare", (F.col("share") < share) | (F.col("n_chars") < least_chars))
+    return out.withColumn("place", F.row_number().over(whole.orderBy(F.desc("n_chars"), *style)))
+
+
+def rarest(spans: DataFrame, by: list[str], style: list[str], text: str, order: str, bins: int = 10, keep: int = 10) -> DataFrame:
+    """The `bins` rarest styles of each document (fewest characters first), each with its `keep` shortest spans: bin, item, text."""
+    chars = F.length(text)
+    n = spans.groupBy(*by, *style).agg(F.sum(chars).alias("n_chars"))
+    top = n.withColumn("bin", F.row_number().over(Window.partitionBy(*by).orderBy("n_chars", *style))).filter(F.col("bin") <= bins)
+    met = spans.join(top, [*by, *style])
+    item = F.row_number().over(Window.partitionBy(*by, "bin").orderBy(chars, order))
+    return met.withColumn("item", item).filter(F.col("item") <= keep).select(*by, *style, "n_chars", "bin", "item", order, text)
+
+
+def top_sizes(images: DataFrame, by: list[str], width: str = "width", height: str = "height", keep: int = 10) -> DataFrame:
+    """The `keep` most frequent sizes of images of each document, with their numbers; of equal ones the smaller."""
+    n = images.groupBy(*by, width, height).agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), width, height))).filter(F.col("place") <= keep)
+
+
+def duplicate_groups(objects: DataFrame, by: list[str], key: str, order: str, groups: int = 20, members: int = 10) -> DataFrame:
+    """The `groups` largest groups of objects of the same content in each document, their first `members` in order, and whether any were left out."""
+    first = objects.withColumn("_i", F.row_number().over(Window.partitionBy(*by, key).orderBy(order)))
+    g = first.groupBy(*by, key).agg(F.max("_i").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_i") <= members, F.col(order)))).alias("members")).filter("n > 1")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), key))
+    return g.withColumn("place", place).filter(F.col("place") <= groups).withColumn("truncated", F.col("n") > members)
+
+
+def fragmentation(lines: DataFrame, by: list[str], spans: str, chars: str, least: int = 5, limit: float = 3.5) -> DataFrame:
+    """Lines whose average span is much shorter than the document's: modified z of the log of characters by span, lines of `least` spans only."""
+    log = F.log1p(F.try_divide(F.col(chars).cast("double"), F.col(spans)))
+    z = with_mad(lines.withColumn("log_length", log).filter(F.col("log_length").isNotNull()), by, "log_length", floor=0.05)
+    return z.withColumn("fragmented", (F.col(spans) >= least) & (F.col("log_length") < F.col("median")) & (F.col("z") > limit))

@@ -122,3 +122,42 @@ SELECT k, count(*) AS width FROM h GROUP BY k, island HAVING bool_or(bin = peak)
 def half_max_width(spark, sf_dir):
     bins = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("k"), F.floor(F.col("value") / 10).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     return stats.half_width(bins, ["k"])
+
+
+# ---- reports of a document's rarest and most frequent things
+
+
+@query("""WITH n AS (SELECT lang AS d, source, n_chars % 7 AS size, count(*) AS n_spans, sum(n_chars) AS n_chars FROM documents GROUP BY ALL), t AS (SELECT *, n_chars / sum(n_chars) OVER (PARTITION BY d) AS share FROM n)
+SELECT d, source, size, n_spans, CAST(n_chars AS BIGINT) AS n_chars, round(share, 6) AS share, share < 0.02 OR n_chars < 30 AS rare, row_number() OVER (PARTITION BY d ORDER BY n_chars DESC, source, size) AS place FROM t""")
+def rare_styles(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("d"), "source", (F.col("n_chars") % 7).alias("size"), "n_chars")
+    return stats.rare_styles(d, ["d"], ["source", "size"], "n_chars").withColumn("share", F.round("share", 6))
+
+
+@query("""WITH s AS (SELECT user_id AS d, event_type AS style, event_id % 13 AS flag, props AS text, event_id AS o FROM events), n AS (SELECT d, style, flag, sum(length(text)) AS n_chars FROM s GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY n_chars, style, flag) AS bin FROM n QUALIFY bin <= 10)
+SELECT d, style, flag, CAST(n_chars AS BIGINT) AS n_chars, bin, row_number() OVER (PARTITION BY d, bin ORDER BY length(text), o) AS item, o, text FROM s JOIN b USING (d, style, flag) QUALIFY item <= 10""")
+def rarest_spans(spark, sf_dir):
+    s = table(spark, sf_dir, "events").select(F.col("user_id").alias("d"), F.col("event_type").alias("style"), (F.col("event_id") % 13).alias("flag"), F.col("props").alias("text"), F.col("event_id").alias("o"))
+    return stats.rarest(s, ["d"], ["style", "flag"], "text", "o")
+
+
+@query("""WITH n AS (SELECT l_suppkey AS d, CAST(l_quantity AS BIGINT) AS width, l_linenumber AS height, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY d ORDER BY n DESC, width, height) AS place FROM n QUALIFY place <= 10""")
+def top_image_sizes(spark, sf_dir):
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("d"), F.col("l_quantity").cast("long").alias("width"), F.col("l_linenumber").alias("height"))
+    return stats.top_sizes(i, ["d"])
+
+
+@query("""WITH g AS (SELECT o_custkey % 50 AS d, o_orderdate AS h, count(*) AS n, list(o_orderkey ORDER BY o_orderkey)[1:10] AS m FROM orders GROUP BY ALL HAVING count(*) > 1)
+SELECT d, n, array_to_string(m, ',') AS members, row_number() OVER (PARTITION BY d ORDER BY n DESC, h) AS place, n > 10 AS truncated FROM g QUALIFY place <= 20""")
+def duplicate_groups(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("d"), F.col("o_orderdate").alias("h"), "o_orderkey")
+    return stats.duplicate_groups(o, ["d"], "h", "o_orderkey").select("d", F.col("n").cast("long").alias("n"), F.array_join("members", ",").alias("members"), "place", "truncated")
+
+
+@query("""WITH l AS (SELECT lang AS d, doc_id, n_chars, doc_id % 9 + 1 AS spans, ln(1 + n_chars::DOUBLE / (doc_id % 9 + 1)) AS v FROM documents), m AS (SELECT *, median(v) OVER (PARTITION BY d) AS med FROM l), k AS (SELECT *, median(abs(v - med)) OVER (PARTITION BY d) AS mad FROM m)
+SELECT d, doc_id, spans >= 5 AND v < med AND 0.6745 * abs(v - med) / greatest(mad, 0.05) > 3.5 AS fragmented FROM k WHERE v IS NOT NULL""")
+def span_fragmentation(spark, sf_dir):
+    l = table(spark, sf_dir, "documents").select(F.col("lang").alias("d"), "doc_id", "n_chars", (F.col("doc_id") % 9 + 1).alias("spans"))  # noqa: E741
+    return stats.fragmentation(l, ["d"], "spans", "n_chars").select("d", "doc_id", "fragmented")
