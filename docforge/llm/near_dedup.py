@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import classes
-from .common import cut, looked_up, release, spread_lookup
+from .common import cut, release, spread_lookup
 
 #: Words in a k-mer, and entries of a sketch; an entry keeps two minima.
 K, ENTRIES = 5, 96
@@ -313,8 +313,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if content is None:
             # merged and not broadcast: the number of these texts grows with the corpus
             content = cut(plain.mapInArrow(_packed, f"x {kind}, words binary").join(everyone.hint("merge"), "x").dropDuplicates(["x"]))
-        own = pairs.join(content, "x").select("x", "center", F.col("words").alias("own"))
-        both = looked_up(own, content.withColumnRenamed("x", "center"), "center", "x", most=0)
+        own = pairs.join(content.hint("merge"), "x").select("x", "center", F.col("words").alias("own"))
+        both = own.join(content.withColumnRenamed("x", "center").hint("merge"), "center")
         return both.select("x", "center", "own", "words").mapInArrow(_verify, f"x {kind}, center {kind}, good boolean").filter("good")
 
     labels = classes(known.select("x", F.explode("sketch").alias("key")), known.select("x", "own").dropDuplicates(["x"]), verified, may_be_alike)
