@@ -83,15 +83,19 @@ def covered(items: DataFrame, by_boxes: DataFrame, by: list[str], least: float)
     return items.join(pairs, [*by, "item_id"], "left_semi"), items.join(pairs, [*by, "item_id"], "left_anti")
 
 
-def mutual_best(left: DataFrame, right: DataFrame, by: list[str], least: float = 0.5) -> DataFrame:
-    """Pairs that are each other's best by IoU, and the rest of both sides: a full outer match without an order of arrival."""
+def greedy_pairs(left: DataFrame, right: DataFrame, by: list[str], least: float = 0.5) -> DataFrame:
+    """One-to-one matches of both sides by IoU, and the rest of both: the best free pair of a page is taken first, then the next.
+
+    A page's pairs are folded in their order (IoU, then identifiers); only pairs that overlap by `least` are in it.
+    """
     pairs = box_pairs(left, right.select(*by, F.col("item_id").alias("other_id"), F.col("box").alias("other")), by, g.iou(F.col("box"), F.col("other")) >= least)
-    pairs = pairs.withColumn("iou", g.iou(F.col("box"), F.col("other")))
-    a = F.row_number().over(Window.partitionBy(*by, "item_id").orderBy(F.desc("iou"), "other_id"))
-    b = F.row_number().over(Window.partitionBy(*by, "other_id").orderBy(F.desc("iou"), "item_id"))
-    best = pairs.withColumn("a", a).withColumn("b", b).filter("a = 1 and b = 1").select(*by, "item_id", "other_id", "iou")
+    ranked = F.array_sort(F.collect_list(F.struct((-g.iou(F.col("box"), F.col("other"))).alias("o"), "item_id", "other_id")))
+    none = F.slice(F.col("p"), 1, 0)
+    taken = lambda done, x: F.exists(done, lambda d: (d["item_id"] == x["item_id"]) | (d["other_id"] == x["other_id"]))
+    fold = F.aggregate("p", none, lambda done, x: F.when(taken(done, x), done).otherwise(F.array_append(done, x)))
+    best = pairs.groupBy(*by).agg(ranked.alias("p")).select(*by, F.explode(fold).alias("m")).select(*by, F.col("m.item_id").alias("item_id"), F.col("m.other_id").alias("other_id"), (-F.col("m.o")).alias("iou"))
     alone = left.select(*by, "item_id").join(best, [*by, "item_id"], "left")
-    rest = right.select(*by, F.col("item_id").alias("other_id")).join(best, [*by, "other_id"], "left_anti")
+    rest = right.select(*by, F.col("item_id").alias("other_id")).join(best.select(*by, "other_id"), [*by, "other_id"], "left_anti")
     return alone.unionByName(rest, allowMissingColumns=True)
 
 
@@ -99,14 +103,17 @@ def name_lookup(rows: DataFrame, names: DataFrame, name: str = "name", least: in
     """rows with entry and match: the first entry (by ord) of the same normalised name; else the first of whose names
     one begins with the other, both of `least` characters; else null. names: normalized_name, entry, ord.
 
-    Prefixes meet on their first characters, never in all pairs.
+    Each name gives its beginnings of `least` characters and more, and these meet whole names by equality: rows grow with
+    the lengths of names, however many of them begin alike.
     """
     first = names.groupBy(F.col("normalized_name").alias(name)).agg(F.min(F.struct("ord", "entry")).alias("e"))
     exact = rows.join(first, name, "left")
-    rest = exact.filter("e is null").drop("e").withColumn("_p", F.substring(name, 1, least)).filter(F.length(name) >= least)
-    known = names.filter(F.length("normalized_name") >= least).select(F.substring("normalized_name", 1, least).alias("_p"), "normalized_name", F.struct("ord", "entry").alias("e"))
-    begins = F.startswith(F.col(name), F.col("normalized_name")) | F.startswith(F.col("normalized_name"), F.col(name))
-    near = rest.select(name, "_p").distinct().join(known, "_p").filter(begins).groupBy(name).agg(F.min("e").alias("near"))
+    starts = lambda c: F.explode(F.transform(F.sequence(F.lit(least), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n)))
+    rest = exact.filter("e is null").select(name).distinct().filter(F.length(name) >= least)
+    known = names.filter(F.length("normalized_name") >= least).groupBy("normalized_name").agg(F.min(F.struct("ord", "entry")).alias("e"))
+    shorter = rest.select(name, starts(name).alias("normalized_name")).join(known, "normalized_name").select(name, "e")
+    longer = known.select("e", starts("normalized_name").alias(name)).groupBy(name).agg(F.min("e").alias("e")).join(rest, name).select(name, "e")
+    near = shorter.unionByName(longer).groupBy(name).agg(F.min("e").alias("near"))
     out = exact.join(near, name, "left")
     return out.select(*rows.columns, F.coalesce("e.entry", "near.entry").alias("entry"), F.when(F.col("e").isNotNull(), "EXACT_MATCH").when(F.col("near").isNotNull(), "FUZZY_MATCH").alias("match"))
 

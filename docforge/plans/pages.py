@@ -81,13 +81,15 @@ def suppressed_regions(spark, sf_dir):
     return inside.select("page", "item_id", F.lit(True).alias("suppressed")).unionByName(outside.select("page", "item_id", F.lit(False).alias("suppressed")))
 
 
-@query(f"""WITH {BOXES}, i AS (SELECT * FROM b WHERE id % 3 <> 0), r AS (SELECT * FROM b WHERE id % 3 = 0), p AS (SELECT a.page, a.id AS l, c.id AS r, {_IOU} AS iou FROM i a JOIN r c ON a.page = c.page AND {_IOU} >= 0.5),
-n AS (SELECT *, row_number() OVER (PARTITION BY page, l ORDER BY iou DESC, r) AS a, row_number() OVER (PARTITION BY page, r ORDER BY iou DESC, l) AS b FROM p), m AS (SELECT * FROM n WHERE a = 1 AND b = 1)
-SELECT i.page, i.id AS item_id, m.r AS other_id FROM i LEFT JOIN m ON i.page = m.page AND i.id = m.l UNION ALL SELECT r.page, NULL, r.id FROM r WHERE (r.page, r.id) NOT IN (SELECT (page, r) FROM m)""")
-def mutual_best_tables(spark, sf_dir):
+@query(f"""WITH RECURSIVE {BOXES}, i AS (SELECT * FROM b WHERE id % 3 <> 0), r AS (SELECT * FROM b WHERE id % 3 = 0), p AS (SELECT a.page, a.id AS l, c.id AS r, {_IOU} AS iou FROM i a JOIN r c ON a.page = c.page AND {_IOU} >= 0.3),
+n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY iou DESC, l, r) AS k FROM p), q AS (SELECT page, list(struct_pack(l := l, r := r) ORDER BY k) AS q FROM n GROUP BY page),
+w AS (SELECT page, q, [q[1]] AS done, 2 AS k FROM q UNION ALL SELECT page, q, CASE WHEN len(list_filter(done, lambda d: d.l = q[k].l OR d.r = q[k].r)) > 0 THEN done ELSE list_append(done, q[k]) END, k + 1 FROM w WHERE k <= len(q)),
+m AS (SELECT page, unnest(done) AS d FROM w WHERE k > len(q)), t AS (SELECT page, d.l AS l, d.r AS r FROM m)
+SELECT i.page, i.id AS item_id, t.r AS other_id FROM i LEFT JOIN t ON i.page = t.page AND i.id = t.l UNION ALL SELECT r.page, NULL, r.id FROM r WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.page = r.page AND t.r = r.id)""")
+def matched_tables(spark, sf_dir):
     items, regions = _split(spark, sf_dir)
     right = regions.select("page", F.col("region_id").alias("item_id"), F.col("other").alias("box"))
-    return joins.mutual_best(items, right, ["page"]).select("page", "item_id", "other_id")
+    return joins.greedy_pairs(items, right, ["page"], 0.3).select("page", "item_id", "other_id")
 
 
 @query(f"""WITH RECURSIVE {BOXES}, e AS (SELECT a.page, a.id AS x, c.id AS y FROM b a JOIN b c ON a.page = c.page AND a.id <> c.id AND {_IOU} >= 0.3),
