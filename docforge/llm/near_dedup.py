@@ -137,8 +137,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(odd, pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "n", "sketch", "p"],
+                [part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(odd, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "digest", "n", "sketch", "p"],
             )
     release()
 
@@ -281,7 +281,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (the smallest identifier of its class), kept (doc_id = class_id).
+    """One row for each row of docs: doc_id, class_id (the smallest identifier of its class), kept (doc_id = class_id), text_hash (xxhash64 of its text).
 
     1. Words are runs of letters and digits in lower case. Texts of equal words are one class from the start; what
        follows has each text once.
@@ -302,7 +302,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     kind = dict(docs.dtypes)[id_col]
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(plain.mapInArrow(_sketches, f"doc_id {kind}, digest binary, n int, sketch array<bigint>, p array<bigint>"))
+    hashes = plain.withColumn("text_hash", F.xxhash64("text"))
+    rows = cut(hashes.mapInArrow(_sketches, f"doc_id {kind}, text_hash bigint, digest binary, n int, sketch array<bigint>, p array<bigint>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sketch", "n", "p"))
     texts = cut(rows.groupBy("digest").agg(first.alias("first")).select("digest", F.col("first.doc_id").alias("x"), "first.sketch", F.struct("first.n", "first.p").alias("own")))
     known = texts.filter("x is not null")
@@ -321,6 +322,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = texts.select("digest", "x")
     if labels is not None:
         texts = texts.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("x", F.coalesce("label", "x"))
-    return spread_lookup(rows.select("doc_id", "digest"), texts.select("digest", F.col("x").alias("class_id")), "digest", "doc_id").select(
-        "doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
+    return spread_lookup(rows.select("doc_id", "text_hash", "digest"), texts.select("digest", F.col("x").alias("class_id")), "digest", "doc_id").select(
+        "doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "text_hash"
     )

@@ -10,7 +10,7 @@ from .common import table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

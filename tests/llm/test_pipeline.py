@@ -57,3 +57,13 @@ def test_clean_in_blocks(spark, sf_dir):
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     whole = {r.doc_id for r in clean(docs, items).collect()}
     assert whole == {r.doc_id for r in clean(docs, items, block_chars=20).collect()} and 1006 not in whole
+
+
+def test_rows_are_judged_by_identifier_and_text(spark):
+    a, b, c = "a b c d e f g h", "z y x w v u t s", "q r s t u v w x"
+    rows = [(1, a, 1), (1, b, 2), (None, a, 3), (None, c, 4), (2, f" {a}", 5), (3, None, 6), (3, "", 7), (4, "word " * 60_000, 8), (5, "word " * 60_000 + "!", 9)]
+    docs = spark.createDataFrame([(i, t, n, n, n) for i, t, n in rows], "doc_id long, text string, of_text int, kept int, text_hash int")
+    exact = corpus_pipeline.exact(spark, docs, "")
+    assert exact.columns == docs.columns and sorted(r.kept for r in exact.collect()) == [2, 4, 5, 6, 7, 8, 9]
+    near = corpus_pipeline.near(spark, docs, "")
+    assert near.columns == docs.columns and sorted(r.kept for r in near.collect()) == [1, 2, 4, 6, 7, 8]
