@@ -118,14 +118,28 @@ def name_lookup(rows: DataFrame, names: DataFrame, name: str = "name", least: in
     return out.select(*rows.columns, F.coalesce("e.entry", "near.entry").alias("entry"), F.when(F.col("e").isNotNull(), "EXACT_MATCH").when(F.col("near").isNotNull(), "FUZZY_MATCH").alias("match"))
 
 
+def containing(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, longest: int = 8) -> DataFrame:
+    """Pairs of distinct texts and patterns where the text contains the pattern; blank patterns are in none.
+
+    They meet by equality: a pattern by its first `longest` characters (all, if it has fewer), a text by each of its
+    stretches of so many; what meets by a longer pattern's beginning is looked at in full. No text meets all patterns.
+    """
+    t = texts.select(F.col(text)).filter(f"length({text}) > 0").distinct()
+    p = patterns.select(F.col(pattern)).filter(f"length({pattern}) > 0").distinct()
+    stretches = f"array_distinct(flatten(transform(sequence(1, least({longest}, length({text}))), k -> transform(sequence(1, length({text}) - k + 1), i -> substring({text}, i, k)))))"
+    met = t.withColumn("_g", F.explode(F.expr(stretches))).join(p.withColumn("_g", F.substring(pattern, 1, longest)), "_g")
+    return met.filter(F.contains(F.col(text), F.col(pattern))).select(text, pattern).distinct()
+
+
 def listed(rows: DataFrame, alerts: DataFrame, allowed: DataFrame, name: str = "name") -> DataFrame:
     """outcome: alert if an alert's name contains the row's, else listed if an allowed name contains it or is contained, else null.
 
-    The lists are dimensions; distinct names meet them once.
+    Distinct names meet the lists once, by stretches of their characters (`containing`).
     """
-    names = rows.select(name).distinct()
-    a = names.join(small(alerts.select(F.col("name").alias("_a"))), F.contains(F.col("_a"), F.col(name))).groupBy(name).agg(F.min("_a").alias("alert"))
-    b = names.join(small(allowed.select(F.col("name").alias("_b"))), F.contains(F.col("_b"), F.col(name)) | F.contains(F.col(name), F.col("_b"))).groupBy(name).agg(F.min("_b").alias("allowed"))
+    names, alerted, known = rows.select(name), alerts.select(F.col("name").alias("_a")), allowed.select(F.col("name").alias("_b"))
+    a = containing(alerted, "_a", names, name).groupBy(name).agg(F.min("_a").alias("alert"))
+    either = containing(known, "_b", names, name).select(name, "_b").unionByName(containing(names, name, known, "_b"))
+    b = either.groupBy(name).agg(F.min("_b").alias("allowed"))
     out = rows.join(a, name, "left").join(b, name, "left")
     return out.withColumn("outcome", F.when(F.col("alert").isNotNull(), "alert").when(F.col("allowed").isNotNull(), "listed"))
 

@@ -131,10 +131,16 @@ def page_chunks(spark, sf_dir):
     return layout.chunks(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id"], ["turn"], 2).select("conv_id", "chunk", "turn")
 
 
-@query()
+_FULL = "w.n >= 3 OR w.chars + c.c > 1500"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id AS k, turn AS o, coalesce(length(text), 0) + 100 AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+w AS (SELECT k, o, i, 0 AS chunk, 1 AS n, c AS chars FROM c WHERE i = 1 UNION ALL
+  SELECT c.k, c.o, c.i, CASE WHEN {_FULL} THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN {_FULL} THEN 1 ELSE w.n + 1 END, CASE WHEN {_FULL} THEN c.c ELSE w.chars + c.c END FROM w JOIN c ON c.k = w.k AND c.i = w.i + 1)
+SELECT k, chunk, min(o) AS first, max(o) AS last, count(*) AS n FROM w GROUP BY k, chunk""")
 def budget_chunks(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("k"), (F.col("conv_id") * 1000 + F.col("turn")).alias("o"), F.length("text").alias("chars"))
-    return layout.budget_chunks(c, ["k"], "o", F.col("chars"), most=20, most_chars=8000)
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("k"), F.col("turn").alias("o"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    return layout.budget_chunks(c, ["k"], "o", F.col("chars"), most=3, most_chars=1500)
 
 
 @query("""WITH d AS (SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS a, max(doc_id) AS b FROM documents GROUP BY 1) SELECT h, a AS first, b AS second FROM d WHERE n = 2""")
