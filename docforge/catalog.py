@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .plans.base import ORACLES, QUERIES
 
-MODULES = ("documents", "ledgers", "statistics", "matching", "pages", "cases")
+MODULES = ("documents", "ledgers", "statistics", "matching", "pages", "cases", "visuals")
 
 #: Result columns that are given as plain types on both sides, so that exact and binary numbers, wide integers and dates compare alike.
 CASTS = {
@@ -36,6 +36,8 @@ CASTS = {
     "case_file": {"most": "DOUBLE"},
     "file_rules_one_scan": {"confidence": "DOUBLE"},
     "timeline": {"at_time": "VARCHAR"},
+    "file_rules_further": {"confidence": "DOUBLE"},
+    "occluded_objects": {"confidence": "DOUBLE"},
 }
 _SPARK = {"DOUBLE": "double", "VARCHAR": "string", "BIGINT": "bigint"}
 
