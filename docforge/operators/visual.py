@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions import strings, values
+from ..functions import strings
 from . import joins, stats
 
 PAGE = ["doc_id", "page"]
@@ -220,9 +220,10 @@ def consensus(regions: DataFrame, least: float = 0.3, alone: float = 0.7) -> Dat
     from .components import connected
 
     other = regions.select(*PAGE, F.col("region_id").alias("other_id"), F.col("box").alias("other"))
-    links = joins.box_pairs(regions, other, PAGE, (F.col("region_id") < F.col("other_id")) & (g.iou(F.col("box"), F.col("other")) >= least)).select(F.col("region_id").alias("a"), F.col("other_id").alias("b"))
-    label = connected(links).withColumnRenamed("id", "region_id")
-    c = regions.join(label, "region_id").groupBy(*PAGE, "label").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.array_sort(F.collect_set("model")).alias("models")).filter(F.size("models") >= 2)
+    node = lambda c: F.struct(*PAGE, F.col(c).alias("region_id"))  # noqa: E731  identifiers may repeat on other pages and in other documents
+    pairs = joins.box_pairs(regions, other, PAGE, (F.col("region_id") < F.col("other_id")) & (g.iou(F.col("box"), F.col("other")) >= least))
+    label = connected(pairs.select(node("region_id").alias("a"), node("other_id").alias("b"))).select("id.*", F.col("label.region_id").alias("label"))
+    c = regions.join(label, [*PAGE, "region_id"]).groupBy(*PAGE, "label").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.array_sort(F.collect_set("model")).alias("models")).filter(F.size("models") >= 2)
     single = regions.join(c.select("doc_id").distinct(), "doc_id", "left_anti").filter(F.col("confidence") > alone)
     return c.unionByName(single.select(*PAGE, F.col("region_id").alias("label"), F.lit(1).cast("long").alias("n"), "confidence", F.array("model").alias("models")))
 
@@ -231,7 +232,3 @@ def page_summary(anomalies: DataFrame) -> DataFrame:
     """n and the largest confidence by page, and the anomalies of each type."""
     t = anomalies.groupBy(*PAGE, "type").agg(F.count("*").alias("n"), F.max("confidence").alias("m"))
     return t.groupBy(*PAGE).agg(F.sum("n").alias("n"), F.max("m").alias("most"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"))
-
-
-def style_bits(flags: Column) -> Column:
-    return values.style_bits(flags)
