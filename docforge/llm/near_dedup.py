@@ -15,6 +15,8 @@ from .common import cut, release, spread_lookup
 
 #: Words in a k-mer, and entries of a sketch; an entry keeps two minima.
 K, ENTRIES = 5, 96
+#: Further entries with which buckets of unlike texts are divided.
+NEXT = 3
 #: Texts of fewer words have few k-mers of K: they have as many entries of shorter ones besides.
 SHORT, SHORT_K = 60, 2
 SIMILARITY = 0.8
@@ -289,9 +291,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
        order, are an entry. Texts with an equal entry are in one bucket. Texts of fewer than 60 words have 96 entries
        of two-word k-mers besides, as a single edit changes most of their few k-mers of five.
     3. Pairs of a bucket are aligned: similar if the edit similarity of their words is 0.8 or more. All texts of a bucket are
-       compared with its smallest identifier, then with each other unless they are of one class already
-       (`buckets.classes`). Pairs are passed over only where a lower bound of their distance says that they can't be
-       similar, so that the similar pairs of each bucket are all linked.
+       compared with its smallest identifier; buckets that aren't of one class then are divided twice, by the entries that
+       follow, and compared with another center each time (`buckets.classes`). So pairs grow with the texts, not
+       with the square of a bucket. Pairs are passed over only where a lower bound of their distance says that they can't be similar.
     4. Classes are the connected components of the similar pairs.
 
     Of pairs with a fifth of their words substituted at random about 97 in 100 share an entry, with a sixth and less nearly
@@ -318,7 +320,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         both = own.join(content.withColumnRenamed("x", "center").hint("merge"), "center")
         return both.select("x", "center", "own", "words").mapInArrow(_verify, f"x {kind}, center {kind}, good boolean").filter("good")
 
-    labels = classes(known.select("x", F.explode("sketch").alias("key")), known.select("x", "own").dropDuplicates(["x"]), verified, may_be_alike)
+    # each entry with those that follow it, by which large buckets are divided
+    follow = F.transform("sketch", lambda v, i: F.struct(v.alias("key"), F.array(*(F.get("sketch", (i + j) % F.size("sketch")) for j in range(1, NEXT + 1))).alias("next")))
+    members = known.select("x", F.explode(follow).alias("m")).select("x", "m.key", "m.next")
+    labels = classes(members, known.select("x", "own").dropDuplicates(["x"]), verified, may_be_alike)
     texts = texts.select("digest", "x")
     if labels is not None:
         texts = texts.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("x", F.coalesce("label", "x"))
