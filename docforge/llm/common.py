@@ -74,11 +74,11 @@ def spread_lookup(rows: DataFrame, values: DataFrame, key: str, by: str, n: int
 MOST_BROADCAST = 200_000
 
 
-def looked_up(rows: DataFrame, values: DataFrame, key: str, by: str, how: str = "inner", most: int = MOST_BROADCAST) -> DataFrame:
+def looked_up(rows: DataFrame, values: DataFrame, key: str, by: str, how: str = "inner", most: int = MOST_BROADCAST, n: int | None = None) -> DataFrame:
     """rows joined with values (few rows a key) on key, without a task that gets all rows of a key.
 
-    values are counted and broadcast where they are at most `most` (0: never); else rows are dealt to salts (`spread_lookup`).
+    values are counted (n: their rows, where they are known) and broadcast where they are at most `most`; else rows are dealt to salts (`spread_lookup`).
     """
-    if most and values.count() <= most:
+    if (values.count() if n is None else n) <= most:
         return rows.join(F.broadcast(values), key, how)
     return spread_lookup(rows, values, key, by, how=how)

@@ -291,8 +291,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
        order, are an entry. Texts with an equal entry are in one bucket. Texts of fewer than 60 words have 96 entries
        of two-word k-mers besides, as a single edit changes most of their few k-mers of five.
     3. Pairs of a bucket are aligned: similar if the edit similarity of their words is 0.8 or more. All texts of a bucket are
-       compared with its smallest identifier; buckets that aren't of one class then are divided twice, by the entries that
-       follow, and compared with another center each time (`buckets.classes`). So pairs grow with the texts, not
+       compared with its smallest identifier; buckets that aren't of one class then are divided by the entries that
+       follow, and compared with another center (`buckets.classes`). So pairs grow with the texts, not
        with the square of a bucket. Pairs are passed over only where a lower bound of their distance says that they can't be similar.
     4. Classes are the connected components of the similar pairs.
 
