@@ -18,7 +18,7 @@ K, ENTRIES = 5, 96
 #: Further entries with which buckets of unlike texts are divided.
 NEXT = 3
 #: Texts of fewer words have few k-mers of K: they have as many entries of shorter ones besides.
-SHORT, SHORT_K = 60, 2
+SHORT, SHORT_K = 150, 2
 SIMILARITY = 0.8
 #: Bits that say of how many words with a certain hash a text has an odd number.
 PARITY = 512
@@ -288,7 +288,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     1. Words are runs of letters and digits in lower case. Texts of equal words are one class from the start; what
        follows has each text once.
     2. Order MinHash: for each of 96 hash functions the two smallest occurrence-labelled k-mers of five words, in text
-       order, are an entry. Texts with an equal entry are in one bucket. Texts of fewer than 60 words have 96 entries
+       order, are an entry. Texts with an equal entry are in one bucket. Texts of fewer than 150 words have 96 entries
        of two-word k-mers besides, as a single edit changes most of their few k-mers of five.
     3. Pairs of a bucket are aligned: similar if the edit similarity of their words is 0.8 or more. All texts of a bucket are
        compared with its smallest identifier; buckets that aren't of one class then are divided by the entries that
