@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, line_dedup, near_dedup, pii, quotes, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, langid, line_dedup, near_dedup, pii, quotes, resampling, toxicity, warc
 from .common import table
 
 
@@ -94,11 +94,44 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = item
 """
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# CRC-32 by halves of bytes: t has the sixteen remainders
+OP11 = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(x="coalesce(text, '')")} AS w FROM documents),
+halves AS (SELECT list(list_reduce([i, 0, 0, 0, 0], lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t FROM (SELECT unnest(range(16)) AS i)),
+own AS (SELECT doc_id, unnest(w) AS v FROM d),
+theirs AS (SELECT unnest({_WORDS.format(x="coalesce(text, '')")}) AS v FROM benchmark),
+spelt AS (SELECT v, hex(encode(v)) AS x FROM (SELECT v FROM own UNION SELECT v FROM theirs)),
+coded AS (
+  SELECT v, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substring(x, i, 2) AS BIGINT))),
+    lambda c, b: xor(xor(xor(c, b) >> 4, t[(xor(c, b) & 15) + 1]) >> 4, t[(xor(xor(c, b) >> 4, t[(xor(c, b) & 15) + 1]) & 15) + 1])), 4294967295) % 10000 AS bucket
+  FROM spelt, halves),
+s AS (SELECT bucket, count(*) AS s FROM own JOIN coded USING (v) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM theirs JOIN coded USING (v) GROUP BY bucket),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM own) + 10000 AS DOUBLE)
+    / (CAST(s + 1 AS DOUBLE) * CAST((SELECT count(*) FROM theirs) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+total AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM own JOIN coded USING (v) JOIN gain USING (bucket) GROUP BY doc_id),
+weighed AS (
+  SELECT doc_id, len(w) AS n_features, coalesce(CAST((total - ((total % n) + n) % n) // n AS BIGINT), 0) AS weight,
+    CAST('0x' || substring(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN total USING (doc_id)),
+scored AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weighed),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_near_dedup, op2_line_dedup, op3_exact_dedup, op4_language_id, op5_warc, op6_toxicity, op7_quotes, op8_pii, op9_byte_bpe, op10_decontaminate,
+        op11_resampling,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op5_warc": OP5, "op10_decontaminate": OP10}
+    return {"op3_exact_dedup": OP3, "op5_warc": OP5, "op10_decontaminate": OP10, "op11_resampling": OP11}
