@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, line_dedup, near_dedup, pii, quotes, resampling, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, filter_audit, langid, licenses, line_dedup, near_dedup, pii, quotes, resampling, toxicity, warc
 from .common import table
 
 
@@ -126,12 +126,58 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN
 """
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN w.doc_id > first THEN 'E' ELSE '' END) AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+n AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY part, fails),
+one AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM one a, one b, one c, one d, one e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, CAST(k AS INTEGER) AS step, substring(o, k, 1) AS x, substring(o, 1, k - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS k)),
+r AS (
+  SELECT part, o, step, x,
+    sum(CASE WHEN translate(fails, before || x, '') = fails THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN translate(fails, before, '') = fails AND contains(fails, x) THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(fails, x) THEN n ELSE 0 END) AS failing,
+    sum(CASE WHEN fails = x THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN translate(fails, before, '') = fails AND contains(fails, x) THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN translate(fails, before, '') = fails AND contains(fails, x) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM n, steps GROUP BY part, o, step, x)
+SELECT part, o AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(failing - removed AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    every = F.concat("base", "found")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.start").alias("first_word"), F.array_max("base.start").alias("last_word"),
+        listed(F.col("base.label")).alias("base_labels"), listed(F.transform(every, lambda p: p["label"])).alias("labels"),
+        F.coalesce(F.array_max(F.transform(every, lambda p: p["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_near_dedup, op2_line_dedup, op3_exact_dedup, op4_language_id, op5_warc, op6_toxicity, op7_quotes, op8_pii, op9_byte_bpe, op10_decontaminate,
-        op11_resampling,
+        op11_resampling, op12_filter_audit, op13_licenses,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op5_warc": OP5, "op10_decontaminate": OP10, "op11_resampling": OP11}
+    return {"op3_exact_dedup": OP3, "op5_warc": OP5, "op10_decontaminate": OP10, "op11_resampling": OP11, "op12_filter_audit": OP12}
