@@ -41,7 +41,7 @@ TEMPLATES = [
 #: A template's words that are looked up in a file: the rarest that the file has. Two of them must agree on where the notice starts.
 ANCHORS = 6
 AGREE = 2
-#: Words by which the starts told by a notice's words may differ, where words were put in or left out.
+#: Words by which the starts told by a notice's words may differ, and that are looked at before and behind it, where words were put in or left out.
 SLACK = 10
 #: Share of a notice's words, weighted by rarity, that a place has at least.
 LEAST_SHARE = 0.6
@@ -84,6 +84,29 @@ def _within(phrase: list[bytes], words: list[bytes], start: int, end: int) -> bo
     return any(words[i] == phrase[0] and words[i : i + n] == phrase for i in range(max(start, 0), min(end, len(words)) - n + 1))
 
 
+def _aligned(window: list[bytes], template: list[bytes], weight: dict[bytes, float]) -> tuple[float, int, int]:
+    """The weight of the template's words that stand in the window in order, at most, and where the first and after the last of them are."""
+    row = [(0.0, -1, -1)] * (len(window) + 1)
+    for w in template:
+        new = [row[0]]
+        for j, x in enumerate(window):
+            best = max(row[j + 1], new[j], key=lambda b: b[0])
+            if x == w and row[j][0] + weight[w] > best[0]:
+                best = (row[j][0] + weight[w], j if row[j][1] < 0 else row[j][1], j + 1)
+            new.append(best)
+        row = new
+    return row[-1]
+
+
+def _add(found: list, place: tuple) -> None:
+    """found with the place; of places of one label that overlap the fuller stays, then the first."""
+    if found and found[-1][0] == place[0] and place[1] < found[-1][2]:
+        if place[3] > found[-1][3]:
+            found[-1] = place
+    else:
+        found.append(place)
+
+
 def places(words: list[bytes], templates: list[Template], idf: dict[bytes, float]) -> tuple[list, list]:
     """(base, found): label, first word, word after the last, share of each place.
 
@@ -119,11 +142,12 @@ def places(words: list[bytes], templates: list[Template], idf: dict[bytes, float
         while k < len(starts):
             near = [s for s in starts[k : k + SLACK + 1] if s <= starts[k] + SLACK]
             k += len(near)
-            if all(_within(key, words, near[0], near[-1] + n) for key in t.keys):
-                same = [p for p in range(n) if any(0 <= s + p < len(words) and words[s + p] == t.words[p] for s in near)]
-                share = sum(idf[t.words[p]] for p in same) / sum(idf[w] for w in t.words)
+            low, high = max(near[0] - SLACK, 0), min(near[-1] + n + SLACK, len(words))
+            if all(_within(key, words, low, high) for key in t.keys):
+                got, a, z = _aligned(words[low:high], t.words, idf)
+                share = min(got / sum(idf[w] for w in t.words), 1.0)
                 if share >= LEAST_SHARE:
-                    found.append((t.label, max(near[0], 0), min(near[-1] + n, len(words)), min(share, 1.0)))
+                    _add(found, (t.label, low + a, low + z, share))
     return sorted(base), sorted(found)
 
 
