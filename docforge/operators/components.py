@@ -19,18 +19,40 @@ def _written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Links that a round holds at most for their least neighbours to be broadcast; with more, links are dealt to salts.
+MOST_BROADCAST = 100_000
+SALTS = 32
+
+
+def _with_least(links: DataFrame, n: int) -> DataFrame:
+    """links (u, v) with m, the least v of its u. A u that holds a third of all links is summed before it is shuffled, and its links meet m in SALTS tasks."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    if n <= MOST_BROADCAST:
+        return links.join(F.broadcast(least), "u")
+    salted = links.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    return salted.join(salted.select("u", "_salt").distinct().join(least, "u"), ["u", "_salt"]).drop("_salt")
+
+
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """id, label: the smallest identifier of each linked item's cluster. Labels spread by neighbours and by their own labels until none changes."""
-    both = _written(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(b, a)).distinct())
-    now = _written(both.groupBy(F.col("x").alias("id")).agg(F.least(F.first("x"), F.min("y")).alias("label")))
+    """id, label: the smallest identifier of each linked item's cluster.
+
+    Stars by turns: each item's larger neighbours are linked to its least one, then all its smaller neighbours and itself are, until every
+    item is linked to its label alone. Rounds grow with the logarithm of a cluster's size, whatever its shape; the driver sees a count and a sum a round.
+    """
+    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null")
+    items = _written(both.select(F.col("x").alias("id")).union(both.select("y")).distinct())
+    now = _written(both.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    state = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+    told = state(now)
     while True:
-        near = both.join(now.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("n"))
-        jump = now.select(F.col("id").alias("label"), F.col("label").alias("j"))
-        then = now.join(near, "id").join(jump, "label", "left").select("id", F.col("label").alias("old"), F.least("label", "n", "j").alias("label"))
-        then = _written(then)
-        if not then.filter("old <> label").limit(1).count():
-            return then.select("id", "label")
-        now = then.select("id", "label")
+        sides = _with_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * told[0])
+        large = sides.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = _with_least(_written(large), told[0])
+        small = large.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        then = _written(small.unionByName(large.select("u", F.col("m").alias("v"))).distinct())
+        before, told, now = told, state(then), then
+        if told == before:
+            return items.join(now.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, by: list[str]) -> DataFrame:
