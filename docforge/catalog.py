@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .plans.base import ORACLES, QUERIES
 
-MODULES = ("documents", "ledgers", "statistics", "matching", "pages", "cases", "visuals")
+MODULES = ("documents", "ledgers", "statistics", "matching", "pages", "cases", "visuals", "extraction")
 
 #: Result columns that are given as plain types on both sides, so that exact and binary numbers, wide integers and dates compare alike.
 CASTS = {

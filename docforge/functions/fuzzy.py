@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,13 +66,66 @@ def token_score(token: str, text: str) -> int:
     return 100 if low in other or other in low else int(partial_ratio(token, text))
 
 
+#: Stretches of a text that are compared at a time.
+STRETCHES = 1 << 16
+
+
+def _best_ratios(tokens: list[str], text: np.ndarray) -> np.ndarray:
+    """partial_ratio of each token (all of one length of 63 at most, shorter than the text's code points) with the text.
+
+    All stretches of the text meet all tokens at once: the common subsequence's bits, one array operation for each place in a stretch. The
+    text is filled up at both ends, so that the shorter stretches there are those whose other places match nothing.
+    """
+    n, long = len(tokens[0]), len(text)
+    kind = np.uint16 if n < 16 else np.uint32 if n < 32 else np.uint64
+    letters, codes = np.unique(text, return_inverse=True)
+    at = {chr(c): k + 1 for k, c in enumerate(letters.tolist())}
+    masks = np.zeros((len(letters) + 1, len(tokens)), kind)
+    for j, t in enumerate(tokens):
+        for i, c in enumerate(t):
+            if c in at:
+                masks[at[c], j] |= kind(1 << i)
+    filled = np.concatenate([np.zeros(n - 1, np.int64), codes.reshape(-1) + 1, np.zeros(n - 1, np.int64)])
+    full = kind((1 << n) - 1)
+    best = np.zeros(len(tokens))
+    for low in range(0, long + n - 1, STRETCHES):
+        w = min(STRETCHES, long + n - 1 - low)
+        row = np.full((w, len(tokens)), full, kind)
+        for j in range(n):
+            u = row & masks[filled[low + j : low + j + w]]
+            row = ((row + u) | (row - u)) & full
+        first = np.arange(low, low + w) - (n - 1)  # where the stretch begins in the text
+        size = np.minimum(first + n, long) - np.maximum(first, 0)
+        best = np.maximum(best, (200.0 * (n - np.bitwise_count(row)) / (n + size)[:, None]).max(axis=0))
+    return best
+
+
+def covered_tokens(tokens: set[str], text: str, threshold: int) -> set[str]:
+    """The tokens whose token_score with the text is `threshold` or more."""
+    low = text.lower()
+    found = {t for t in tokens if t.lower() in low or low in t.lower()}
+    by_size: dict[int, list[str]] = {}
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    for t in tokens - found:
+        if len(t) < len(points) and len(t) < 64:
+            by_size.setdefault(len(t), []).append(t)
+        elif int(partial_ratio(t, text)) >= threshold:
+            found.add(t)
+    for same in by_size.values():
+        found.update(t for t, r in zip(same, _best_ratios(same, points)) if int(r) >= threshold)
+    return found
+
+
 def coverage(value: str | None, texts: Sequence[str] | None, threshold: int = 80) -> float:
     """The share of value's tokens that score `threshold` in one of the texts; 1 without tokens, 0 without texts."""
     tokens = TOKEN.findall(value or "")
     if not tokens:
         return 1.0
-    known = [t.strip() for t in (texts if texts is not None else ()) if t and t.strip()]
-    return sum(any(token_score(t, text) >= threshold for text in known) for t in tokens) / len(tokens)
+    left = set(tokens)
+    for text in texts if texts is not None else ():
+        if left and text and text.strip():
+            left -= covered_tokens(left, text.strip(), threshold)
+    return sum(t not in left for t in tokens) / len(tokens)
 
 
 def text_similarity(a: str | None, b: str | None) -> float:

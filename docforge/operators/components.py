@@ -20,7 +20,7 @@ def _written(df: DataFrame) -> DataFrame:
 
 
 #: Links that a round holds at most for their least neighbours to be broadcast; with more, links are dealt to salts.
-MOST_BROADCAST = 100_000
+MOST_BROADCAST = 300_000
 SALTS = 32
 
 
@@ -37,22 +37,25 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, label: the smallest identifier of each linked item's cluster.
 
     Stars by turns: each item's larger neighbours are linked to its least one, then all its smaller neighbours and itself are, until every
-    item is linked to its label alone. Rounds grow with the logarithm of a cluster's size, whatever its shape; the driver sees a count and a sum a round.
+    item is linked to its label alone. Rounds grow with the logarithm of a cluster's size, whatever its shape; the driver sees two counts a round.
     """
-    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null")
-    items = _written(both.select(F.col("x").alias("id")).union(both.select("y")).distinct())
-    now = _written(both.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    state = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-    told = state(now)
-    while True:
-        sides = _with_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * told[0])
-        large = sides.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        large = _with_least(_written(large), told[0])
+    known = links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null")
+    known = _written(known.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    now = known.filter("u <> v")
+    n = now.count()
+    while n:
+        sides = _with_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * n)
+        large = _with_least(sides.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), n)
         small = large.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        then = _written(small.unionByName(large.select("u", F.col("m").alias("v"))).distinct())
-        before, told, now = told, state(then), then
-        if told == before:
-            return items.join(now.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+        now = _written(small.unionByName(large.select("u", F.col("m").alias("v"))).distinct())
+        # stars: each item has one smaller neighbour at most, and none if it has larger ones
+        ends = now.select(F.col("u").alias("id"), F.lit(1).alias("k")).unionByName(now.select(F.col("v").alias("id"), F.lit(0).alias("k")))
+        told = ends.groupBy("id").agg(F.sum("k").alias("up"), F.min("k").alias("down")).agg(F.sum("up").alias("n"), F.count_if(F.expr("up > 1 or up = 1 and down = 0")).alias("odd")).first()
+        n = told["n"] if told["odd"] else 0
+    every = now.select(F.col("u").alias("id"), F.col("v").alias("label"))
+    for c in (now.select("v"), known.filter("u = v").select("v")):
+        every = every.unionByName(c.select(F.col("v").alias("id"), F.col("v").alias("label")))
+    return every.groupBy("id").agg(F.min("label").alias("label"))
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, by: list[str]) -> DataFrame:

@@ -16,6 +16,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by their keys to a task for each core, and to as many as a shuffle has, at least: for costly work on few bytes, which adaptive execution would gather in one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def intervals(versions: DataFrame, keys: list[str], since: str) -> DataFrame:
     """versions with valid_from and valid_to (exclusive, null for the latest)."""
     w = Window.partitionBy(*keys).orderBy(since)

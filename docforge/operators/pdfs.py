@@ -14,11 +14,11 @@ TEXT_KEYS = ("Contents", "Text", "Value", "Desc", "Name", "Title", "Subject")
 
 
 def latest(objects: DataFrame) -> DataFrame:
-    """The rows in force: of an object that several revisions define, those of the last; trailers stay."""
+    """The rows in force: of an object that is defined several times, those of the last revision, and there of the last definition; trailers stay."""
     key = F.when(F.col("kind") == "inline", F.col("parent")).otherwise(F.col("obj"))
-    top = F.max(F.struct("revision", F.coalesce("gen", F.lit(0)))).over(Window.partitionBy("doc_id", "_key"))
+    top = F.max(F.struct("revision", "seq")).over(Window.partitionBy("doc_id", "_key"))
     keyed = objects.withColumn("_key", key).withColumn("_top", top)
-    return keyed.filter(F.col("_key").isNull() | (F.col("revision") == F.col("_top.revision"))).drop("_key", "_top")
+    return keyed.filter(F.col("_key").isNull() | (F.col("seq") == F.col("_top.seq"))).drop("_key", "_top")
 
 
 def _has(*keys: str) -> Column:

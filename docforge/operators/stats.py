@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import _written
 from .joins import small
 
 #: Dixon's critical values for 3 to 10 values; Benford's zones of the mean absolute deviation.
@@ -14,19 +15,27 @@ DIXON = {3: 0.970, 4: 0.829, 5: 0.710, 6: 0.628, 7: 0.569, 8: 0.608, 9: 0.564, 1
 BENFORD_ZONES, BENFORD_LEAST = (0.006, 0.012), 30
 
 
-def exact_median(rows: DataFrame, by: list[str], value: str, accuracy: int = 1000) -> DataFrame:
-    """by, n and median (the mean of the two middle values) of each group, however large: no task holds a whole group's values.
+#: Values of a group that one task may sort; larger groups are enclosed by a sketch first. Both ways are exact.
+MOST_SORTED = 100_000
+
+
+def _same(by: list[str], mark: str) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(b).eqNullSafe(F.col(f"{mark}{i}")) for i, b in enumerate(by)))
+
+
+def _marked(groups: DataFrame, by: list[str], mark: str, *more: str) -> DataFrame:
+    return groups.select(*(F.col(b).alias(f"{mark}{i}") for i, b in enumerate(by)), *more)
+
+
+def _enclosed_median(plain: DataFrame, by: list[str], accuracy: int = 1000) -> DataFrame:
+    """by, n, median of the column _v, however large the groups: no task holds a whole group's values.
 
     A sketch of bounded size gives two values that enclose the middle. Values below the first are counted only; those between (a few
     in a thousand) are counted by value, and a running sum over them finds the middle ones exactly.
     """
-    v = F.col(value).cast("double")
-    plain = rows.select(*by, v.alias("_v")).filter("_v is not null")
     ends = F.percentile_approx("_v", [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy)
-    bounds = plain.groupBy(*by).agg(F.count("*").alias("n"), ends.alias("_e"))
-    bounds = small(bounds.select(*(F.col(b).alias(f"_b{i}") for i, b in enumerate(by)), "n", F.col("_e")[0].alias("_lo"), F.col("_e")[1].alias("_hi")))
-    same = reduce(lambda x, y: x & y, (F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)))
-    near = plain.join(bounds, same).filter("_v <= _hi")
+    bounds = plain.groupBy(*by).agg(F.count("*").alias("n"), ends.alias("_e")).withColumn("_lo", F.col("_e")[0]).withColumn("_hi", F.col("_e")[1])
+    near = plain.join(small(_marked(bounds, by, "_b", "n", "_lo", "_hi")), _same(by, "_b")).filter("_v <= _hi")
     counts = near.groupBy(*by, "n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_k"))
     upto = F.sum("_k").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v")))
     middle = lambda k: F.min(F.when(F.col("_upto") >= k, F.col("_v")))
@@ -34,11 +43,36 @@ def exact_median(rows: DataFrame, by: list[str], value: str, accuracy: int = 100
     return found.select(*by, "n", ((F.col("_a") + F.col("_z")) / 2).alias("median"))
 
 
+def medians(rows: DataFrame, by: list[str], value: str, most_sorted: int = MOST_SORTED) -> DataFrame:
+    """by, n, median (the mean of the two middle values) and mad (the median of the distances from it) of each group; null values are left out, a null key is a group.
+
+    Groups are counted first. Those of most_sorted values or fewer are sorted whole, in one aggregation; the others by bounds from a sketch, without a task that holds them.
+    """
+    plain = rows.select(*by, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    large = _marked(plain.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > most_sorted), by, "_g")
+    any_large = bool(large.limit(1).count())
+    usual = plain.join(small(large), _same(by, "_g"), "left_anti") if any_large else plain
+    middle = lambda v: (F.get(v, F.expr("cast((n - 1) div 2 AS int)")) + F.get(v, F.expr("cast(n div 2 AS int)"))) / 2
+    lists = usual.groupBy(*by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("_v")).alias("_s")).withColumn("median", middle(F.col("_s")))
+    out = lists.withColumn("_d", F.array_sort(F.transform("_s", lambda x: F.abs(x - F.col("median"))))).select(*by, "n", "median", middle(F.col("_d")).alias("mad"))
+    if not any_large:
+        return out
+    own = plain.join(small(large), _same(by, "_g"), "left_semi")
+    mid = _enclosed_median(own, by)
+    off = own.join(small(_marked(mid, by, "_m", "median")), _same(by, "_m")).select(*by, F.abs(F.col("_v") - F.col("median")).alias("_v"))
+    mad = _marked(_enclosed_median(off, by).withColumnRenamed("median", "mad"), by, "_d", "mad")
+    return out.unionByName(mid.join(mad, _same(by, "_d")).select(*by, "n", "median", "mad"))
+
+
+def exact_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    return medians(rows, by, value).drop("mad")
+
+
 def with_mad(rows: DataFrame, by: list[str], value: str, least: int = 1, floor: float = 0.5) -> DataFrame:
-    """rows with n, median, mad and modified z = 0.6745 |x - median| / max(mad, floor); groups under `least` rows are left out."""
-    dev = rows.join(small(exact_median(rows, by, value).filter(F.col("n") >= least)), by).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
-    mad = exact_median(dev, by, "_dev").drop("n").withColumnRenamed("median", "mad")
-    return dev.join(small(mad), by).withColumn("z", F.lit(0.6745) * F.col("_dev") / F.greatest(F.col("mad"), F.lit(floor))).drop("_dev")
+    """rows with n, median, mad and modified z = 0.6745 |x - median| / max(mad, floor); groups under `least` rows are left out, a null key is a group."""
+    known = _written(_marked(medians(rows, by, value).filter(F.col("n") >= least), by, "_k", "n", "median", "mad"))
+    met = rows.join(small(known), _same(by, "_k")).drop(*(f"_k{i}" for i in range(len(by))))
+    return met.withColumn("z", F.lit(0.6745) * F.abs(F.col(value) - F.col("median")) / F.greatest(F.col("mad"), F.lit(floor)))
 
 
 def cv(value: Column) -> Column:
@@ -110,7 +144,7 @@ def merge_scopes(hits: DataFrame, by: list[str], base: float = 0.7, bonus: float
 def best_axis(rows: DataFrame, by: list[str], axes: list[str]) -> DataFrame:
     """axis and mad of the column with the smallest deviation (of equal ones the first listed)."""
     long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).alias("axis"), F.col(a).cast("double").alias("v")) for i, a in enumerate(axes)))).alias("x")).select(*by, "x.*")
-    mads = with_mad(long, [*by, "axis", "i"], "v").groupBy(*by, "axis", "i").agg(F.first("mad").alias("mad"))
+    mads = medians(long, [*by, "axis", "i"], "v")
     return mads.groupBy(*by).agg(F.min_by("axis", F.struct("mad", "i")).alias("axis"), F.min("mad").alias("mad"))
 
 

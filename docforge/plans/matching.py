@@ -175,7 +175,7 @@ def numeric_tokens(spark, sf_dir):
 def token_coverage(spark, sf_dir):
     """Each turn's text against the texts of the two turns before it in its conversation, by containment, then partial ratio."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, -1)
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.collect_list("text").over(w).alias("before"))
+    c = joins.spread(table(spark, sf_dir, "conversations"), "conv_id").select("conv_id", "turn", "text", F.collect_list("text").over(w).alias("before"))
     share = fuzzy.token_coverage(F.col("text"), F.col("before"))
     return c.select("conv_id", "turn", F.round(share, 6).alias("share"), (share >= 0.8).alias("covered"))
 

@@ -39,7 +39,7 @@ def modified_z(spark, sf_dir):
 SELECT l_partkey, n, round(med, 4) AS median, round(mad, 4) AS mad FROM m""")
 def mad_by_group(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_extendedprice").cast("decimal(18,2)").cast("double").alias("v"))
-    return stats.with_mad(rows, ["l_partkey"], "v", least=11).select("l_partkey", "n", F.round("median", 4).alias("median"), F.round("mad", 4).alias("mad")).distinct()
+    return stats.medians(rows, ["l_partkey"], "v").filter("n >= 11").select("l_partkey", "n", F.round("median", 4).alias("median"), F.round("mad", 4).alias("mad"))
 
 
 @query("""WITH l AS (SELECT l_partkey, CAST(l_quantity AS DOUBLE) AS q, median(l_quantity) OVER (PARTITION BY l_partkey) AS med, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem),

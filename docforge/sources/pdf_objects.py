@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 
 REF = "struct<path:string,obj:int>"
 DRAW = "struct<name:string,a:double,b:double,c:double,d:double,e:double,f:double>"
-#: parent: of a dictionary that stands in an array of another object, that object's number; container: the object stream that holds the object.
-FIELDS = f"obj int, gen int, parent int, container int, revision int, kind string, type string, subtype string, keys array<string>, refs array<{REF}>, values map<string,string>, size bigint, digest string, text string, draws array<{DRAW}>"
+#: seq: place of the definition in the file; parent: of a dictionary that stands in an array of another object, that object's number; container: the object stream that holds the object.
+FIELDS = f"seq int, obj int, gen int, parent int, container int, revision int, kind string, type string, subtype string, keys array<string>, refs array<{REF}>, values map<string,string>, size bigint, digest string, text string, draws array<{DRAW}>"
 
 #: Characters of a value or of a stream's text that are kept.
 MOST_TEXT = 500
@@ -224,7 +224,15 @@ def sections(raw: bytes) -> list[int]:
 
 
 def objects(raw: bytes) -> Iterator[dict]:
-    """The rows (FIELDS) of one file: each object as often as the file defines it, with the revision that does, its trailers, and the objects in its object streams.
+    """The rows (FIELDS) of one file, numbered by seq as they are defined; parts of an object have its number."""
+    seq = -1
+    for r in _objects(raw):
+        seq += r["kind"] != "inline"
+        yield r | {"seq": seq}
+
+
+def _objects(raw: bytes) -> Iterator[dict]:
+    """The rows of one file: each object as often as the file defines it, with the revision that does, its trailers, and the objects in its object streams.
 
     Objects are found by their marks, not by the cross-reference table, so that a broken or hidden one is found as well; bytes of a stream are passed over.
     A value that can't be read gives a row of kind `broken`. Encrypted files give their objects, with strings and streams as they are.
@@ -284,7 +292,7 @@ def _held(of: dict, data: bytes, container: int, revision: int) -> Iterator[dict
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = pa.schema([
-        ("doc_id", pa.string()), ("obj", pa.int32()), ("gen", pa.int32()), ("parent", pa.int32()), ("container", pa.int32()), ("revision", pa.int32()), ("kind", pa.string()), ("type", pa.string()), ("subtype", pa.string()),
+        ("doc_id", pa.string()), ("seq", pa.int32()), ("obj", pa.int32()), ("gen", pa.int32()), ("parent", pa.int32()), ("container", pa.int32()), ("revision", pa.int32()), ("kind", pa.string()), ("type", pa.string()), ("subtype", pa.string()),
         ("keys", pa.list_(pa.string())), ("refs", pa.list_(pa.struct([("path", pa.string()), ("obj", pa.int32())]))), ("values", pa.map_(pa.string(), pa.string())), ("size", pa.int64()), ("digest", pa.string()), ("text", pa.string()),
         ("draws", pa.list_(pa.struct([("name", pa.string()), *((x, pa.float64()) for x in "abcdef")]))),
     ])

@@ -13,9 +13,9 @@ from docforge import catalog
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Queries whose partial ratios have no native form, and those that read the objects of files.
+ARROW = {"token_coverage", "text_cross_validation", "pdf_graph", "pdf_orphans", "pdf_images"}
 #: Queries that meet a few versions of a rate.
-#: Queries whose partial ratios have no native form.
-ARROW = {"token_coverage"}
 NESTED_LOOPS = {"asof_rate", "statutory_rate_check"}
 
 

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docforge.functions import arrays, dates, geometry, jsonx, strings, values
+from docforge.functions import arrays, dates, fuzzy, geometry, jsonx, strings, values
 
 
 def table(spark, values_, f, kind="string"):
@@ -110,3 +110,12 @@ def test_fuzzy_columns_agree_with_the_functions(spark):
     assert [(r.c, r.ok) for r in got] == [(fuzzy.coverage(v, t), fuzzy.coverage(v, t) >= 0.8) for v, t in rows]
     checked = spark.createDataFrame([("ab1",), ("12 34",), ("1234",), ("ab",), ("日本語",), (None,)], "t string").select(strings.should_check_text(F.col("t")).alias("c")).collect()
     assert [r.c for r in checked] == [True, True, False, False, False, False]
+
+
+def test_covered_tokens_are_those_that_score_one_by_one():
+    rng = random.Random(1)
+    for _ in range(1500):
+        text = "".join(rng.choice("abcdeAB é1.") for _ in range(rng.randrange(60))).strip()
+        tokens = {"".join(rng.choice("abcdeABf1") for _ in range(rng.choice([1, 2, 3, 5, 8, 15, 16, 17, 31, 33, 70]))) for _ in range(6)} | {text[3:9].replace(" ", "x") or "a"}
+        threshold = rng.choice([40, 60, 80, 90])
+        assert not text or fuzzy.covered_tokens(tokens, text, threshold) == {t for t in tokens if fuzzy.token_score(t, text) >= threshold}
