@@ -49,19 +49,21 @@ def chunks(rows: DataFrame, by: list[str], order: list, size: int) -> DataFrame:
 def budget_chunks(rows: DataFrame, by: list[str], order: str, chars: Column, most: int = 100, most_chars: int = 50_000, overhead: int = 100) -> DataFrame:
     """by, chunk, first and last order, n: rows in order, a new chunk where the next would exceed the count or the characters.
 
-    Greedy, hence a fold over each document's rows in order; a document's list of sizes is all that it holds.
+    Greedy, hence a fold over each document's rows in order; it keeps one number for each chunk that it closes, and rows are dealt to chunks afterwards.
     """
     sizes = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), (chars + overhead).cast("long").alias("c")))).alias("s"))
-    zero = F.expr("struct(0 AS chunk, 0 AS n, 0L AS chars, CAST(array() AS ARRAY<INT>) AS out)")
+    zero = F.expr("struct(0L AS i, 0L AS n, 0L AS chars, CAST(array() AS ARRAY<BIGINT>) AS starts)")
 
     def step(a: Column, x: Column) -> Column:
-        new = (a["n"] > 0) & ((a["n"] >= most) | (a["chars"] + x["c"] > most_chars))
-        chunk = a["chunk"] + new.cast("int")
-        return F.struct(chunk.alias("chunk"), (F.when(new, 1).otherwise(a["n"] + 1)).cast("int").alias("n"), F.when(new, x["c"]).otherwise(a["chars"] + x["c"]).alias("chars"), F.concat(a["out"], F.array(chunk)).alias("out"))
-
-    folded = sizes.withColumn("_k", F.aggregate("s", zero, step, lambda a: a["out"]))
-    long = folded.select(*by, F.explode(F.arrays_zip(F.col("s"), F.col("_k"))).alias("z")).select(*by, F.col("z.s.o").alias("o"), F.col("z._k").alias("chunk"))
-    return long.groupBy(*by, "chunk").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.count("*").alias("n"))
+        new = (a["i"] == 0) | (a["n"] >= most) | (a["chars"] + x["c"] > most_chars)
+        starts = F.when(new, F.array_append(a["starts"], a["i"])).otherwise(a["starts"])
+        return F.struct((a["i"] + 1).alias("i"), F.when(new, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), F.when(new, x["c"]).otherwise(a["chars"] + x["c"]).alias("chars"), starts.alias("starts"))
+
+    folded = sizes.withColumn("_k", F.aggregate("s", zero, step, lambda a: a["starts"]))
+    chunk = folded.select(*by, "s", F.size("s").alias("_size"), "_k", F.posexplode("_k").alias("chunk", "_from"))
+    to = F.coalesce(F.get("_k", F.col("chunk") + 1), F.col("_size").cast("long"))
+    at = lambda i: F.get("s", i.cast("int"))["o"]
+    return chunk.select(*by, "chunk", at(F.col("_from")).alias("first"), at(to - 1).alias("last"), (to - F.col("_from")).alias("n"))
 
 
 def lines_from_spans(spans: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ PAGE = ["doc_id", "page"]
 #: Confidence of an anomaly that states none.
 CONFIDENCE = {
     "PDF_SOURCE_TYPE": 0.9, "PDF_TYPOGRAPHY_OUTLIER": 0.7, "PDF_SPAN_FRAGMENTATION_ANOMALY": 0.6, "PDF_CHAR_SPACING_ANOMALY": 0.7, "PDF_OBJECT_OCCLUSION": 0.7, "PDF_OBJECT_REUSE": 0.7, "PDF_OVERLAY_CHARACTERIZATION": 0.6,
-    "PDF_COPY_MOVE_CORRELATION": 0.8, "PDF_PARTIAL_OUTLINING": 0.8, "PDF_VECTOR_SPOOFING": 0.8, "IMAGE_BASELINE_ANOMALY": 0.7, "IMAGE_ALIGNMENT_ANOMALY": 0.7, "IMAGE_SOURCE_CLASSIFICATION": 0.9, "IMAGE_PAGE_SKIPPED_CAMERA": 0.9,
+    "PDF_COPY_MOVE_CORRELATION": 0.8, "PDF_PARTIAL_OUTLINING": 0.8, "PDF_VECTOR_SPOOFING": 0.8, "PDF_DRAWING_ANOMALY": 0.5, "IMAGE_BASELINE_ANOMALY": 0.7, "IMAGE_ALIGNMENT_ANOMALY": 0.7, "IMAGE_LOW_QUALITY_SEGMENTATION": 0.3, "IMAGE_SOURCE_CLASSIFICATION": 0.9, "IMAGE_PAGE_SKIPPED_CAMERA": 0.9,
 }
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, dates, fuzzy, jsonx, strings, values
-from ..operators import evidence, grounding, joins
+from ..operators import evidence, grounding, joins, metadata, validation
+from ..sources import dimensions
 from .base import query, table
 
 SUFFIX = ["Sdn. Bhd.", "Berhad", "SDN BHD", "Enterprise", "&amp; Co"]
@@ -112,6 +113,29 @@ def producer_risk(spark, sf_dir):
     return grounding.risk(rows, t).select("c_custkey", "level", "risk_score")
 
 
+@query("""WITH p AS (SELECT c_custkey, ['pdftex', 'luatex', 'canva_image', 'gimp', 'reportlab', 'nobody'][c_custkey % 6 + 1] AS producer, ['receipt', 'payslip', 'invoice', 'id_card', 'resume', 'photograph'][c_nationkey % 6 + 1] AS kind FROM customer),
+t(producer, kind, level, score) AS (VALUES ('pdftex', 'receipt', 'medium', 0.5), ('pdftex', 'payslip', 'medium', 0.5), ('pdftex', 'invoice', 'low', 0.2), ('pdftex', 'resume', 'low', 0.2), ('luatex', 'receipt', 'medium', 0.5), ('luatex', 'payslip', 'medium', 0.5),
+('luatex', 'invoice', 'low', 0.2), ('luatex', 'resume', 'low', 0.2), ('canva_image', 'id_card', 'critical', 0.95), ('canva_image', 'photograph', 'low', 0.2), ('gimp', 'photograph', 'low', 0.2),
+('reportlab', 'receipt', 'critical', 0.95), ('reportlab', 'payslip', 'critical', 0.95), ('reportlab', 'invoice', 'critical', 0.95), ('reportlab', 'resume', 'medium', 0.5))
+SELECT c_custkey, coalesce(level, 'unknown') AS level, coalesce(score, CASE WHEN p.producer = 'nobody' THEN 0.0 ELSE 0.3 END)::DOUBLE AS risk_score FROM p LEFT JOIN t USING (producer, kind)""")
+def registry_risk(spark, sf_dir):
+    """Risks by the registry's own table of producers and types of document."""
+    names = F.array(*map(F.lit, ["pdfTeX", "LuaTeX", "canva_image", "gimp", "ReportLab", "nobody"]))
+    kinds = F.array(*map(F.lit, ["RECEIPT", "PAYSLIP", "INVOICE", "ID_CARD", "RESUME", "PHOTOGRAPH"]))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(names, (F.col("c_custkey") % 6 + 1).cast("int")).alias("producer"), F.element_at(kinds, (F.col("c_nationkey") % 6 + 1).cast("int")).alias("document_type"))
+    return grounding.risk(rows, dimensions.risks(spark)).select("c_custkey", "level", F.col("risk_score").cast("double").alias("risk_score"))
+
+
+@query(r"""WITH u AS (SELECT page_id, regexp_extract(html, '(?i)pdf[eE]?TeX') <> '' AS tex, regexp_extract(html, '(?i)ReportLab') <> '' AS lab FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'made by pdfTeX-1.40' WHEN 1 THEN 'ReportLab PDF' ELSE 'none' END AS html FROM pages))
+SELECT page_id AS doc_id, CASE WHEN tex THEN 'pdftex' ELSE 'reportlab' END AS best_producer FROM u WHERE tex OR lab""")
+def registry_producers(spark, sf_dir):
+    """The best producer by the registry's own fingerprints, of files that name a tool."""
+    said = F.when(F.col("page_id") % 3 == 0, "made by pdfTeX-1.40").when(F.col("page_id") % 3 == 1, "ReportLab PDF").otherwise("none")
+    v = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("producer").alias("field"), said.alias("value"))
+    scored = grounding.score_fingerprints(v, dimensions.fingerprints(spark))
+    return metadata.best_producers(scored).select("doc_id", "best_producer")
+
+
 # ---- identifiers in lists
 
 
@@ -180,6 +204,32 @@ def token_coverage(spark, sf_dir):
     return c.select("conv_id", "turn", F.round(share, 6).alias("share"), (share >= 0.8).alias("covered"))
 
 
+@query()
+def text_cross_validation(spark, sf_dir):
+    """Targets, table cells and layout regions made of each conversation's turns, against the lines (the turns) that they cite: what the lines don't have.
+
+    A target's value is the turn's last three words, its keys are the third word and a number; it cites the turn before. A cell has the turn's first four words and cites
+    the turn itself, every third one nothing, so that its table's lines count. A region has the next turn's text, every second one its own.
+    """
+    c = joins.spread(table(spark, sf_dir, "conversations"), "conv_id").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = c.select("doc_id", F.col("turn").alias("observation_id"), "text")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    ids = lambda x: F.array(x.cast("int"))
+    key = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    targets = c.select("doc_id", F.col("turn").alias("ord"), F.array_join(F.slice(F.reverse(words), 1, 3), " ").alias("value"), F.array(key("a", F.get(words, 2)), key("n", (F.col("turn") * 1111).cast("string"))).alias("keys"), ids(F.col("turn") - 1).alias("obs"))
+    none = F.array().cast("array<int>")
+    cells = c.select("doc_id", F.lit(0).alias("table_ord"), F.col("turn").alias("row_idx"), F.lit("DESC").alias("column"), F.array_join(F.slice(words, 1, 4), " ").alias("value"),
+        F.when(F.col("turn") % 3 == 0, none).otherwise(ids(F.col("turn"))).alias("obs"), F.array(F.lit(0), F.lit(1)).alias("table_obs"))
+    after = F.lead("text").over(Window.partitionBy("doc_id").orderBy("turn"))
+    regions = c.select("doc_id", F.col("turn").alias("region_id"), F.lit(True).alias("is_text"), F.substring(F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.coalesce(after, F.lit(""))), 1, 60).alias("text"))
+    assigned = c.select("doc_id", F.col("turn").alias("observation_id"), F.when(F.col("turn") % 5 != 4, F.col("turn")).alias("region_id"))
+    cut = lines.withColumn("text", F.substring("text", 1, 60))
+    nothing = c.filter("false").select("doc_id", F.lit(1).alias("page"))
+    found = validation.targets_against_lines(targets, lines).select("doc_id", F.concat_ws(".", F.lit("target"), "ord", "pos").alias("item"), "kind")
+    found = found.unionByName(validation.cells_against_lines(cells, lines).select("doc_id", F.concat_ws(".", F.lit("cell"), "row_idx").alias("item"), "kind"))
+    return found.unionByName(validation.structure_conflicts(cut, regions, assigned, nothing, nothing).select("doc_id", F.concat_ws(".", F.lit("page"), "item").alias("item"), "kind"))
+
+
 @query(r"""WITH c AS (SELECT conv_id, turn, text, list(lower(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS t, regexp_extract_all(text, '[A-Za-z]+|[0-9]+(?:[.,][0-9]+)?') AS w FROM conversations)
 SELECT conv_id, turn, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda y: len(list_filter(coalesce(t, []), lambda x: contains(x, lower(y)))) > 0)) / len(w)::DOUBLE, 6) END AS share FROM c""")
 def contained_tokens(spark, sf_dir):

@@ -23,8 +23,8 @@ PRODUCERS = [
     ("pdfium", "os_system", "low", "printing"),
     ("ghostscript", "conversion_engine", "medium", "conversion"),
     ("skia_pdf", "conversion_engine", "medium", "browser"),
-    ("pdftex", "tex", "low", "writing"),
-    ("luatex", "tex", "low", "writing"),
+    ("pdftex", "tex", "low", "typesetting"),
+    ("luatex", "tex", "low", "typesetting"),
     ("itext", "pdf_library", "medium", "conversion"),
     ("reportlab", "pdf_library", "high", "programmed"),
     ("fpdf", "pdf_library", "high", "programmed"),
@@ -109,6 +109,7 @@ FINGERPRINTS = [
 RISK_TYPES = ["invoice", "bank_statement", "legal_document", "contract", "certificate", "resume", "summons", "tax_document", "receipt", "quotation", "purchase_order", "payslip"]
 RISK_PROFILES = {
     "writing": ["low", "medium", "low", "low", "low", "low", "medium", "medium", "low", "low", "low", "medium"],
+    "typesetting": ["low", "medium", "low", "low", "low", "low", "medium", "medium", "medium", "low", "low", "medium"],
     "harmless": ["low"] * 12,
     "image_editing": ["high", "critical", "high", "high", "high", "low", "critical", "critical", "high", "medium", "medium", "critical"],
     "publishing": ["medium", "high", "medium", "medium", "low", "low", "high", "high", "medium", "medium", "medium", "high"],
@@ -140,6 +141,7 @@ IMAGE_RISKS = [
     ("sony_camera", "official_document", "medium"),
     ("canva_image", "photograph", "low"),
     ("canva_image", "official_document", "critical"),
+    ("canva_image", "id_card", "critical"),
 ]
 #: Categories of tools and the names that tell them, in the order in which they are looked for.
 TOOL_WORDS = {
