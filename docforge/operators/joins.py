@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .components import _written
 
 #: Rows that a small table has at most to be broadcast; larger ones are joined by shuffling.
 MOST_BROADCAST = 100_000
@@ -92,14 +93,20 @@ def covered(items: DataFrame, by_boxes: DataFrame, by: list[str], least: float)
 def greedy_pairs(left: DataFrame, right: DataFrame, by: list[str], least: float = 0.5) -> DataFrame:
     """One-to-one matches of both sides by IoU, and the rest of both: the best free pair of a page is taken first, then the next.
 
-    A page's pairs are folded in their order (IoU, then identifiers); only pairs that overlap by `least` are in it.
+    In rounds: pairs that are the best left for both of their boxes are taken, by all pages at once, and the others of those boxes go. As the order (IoU, then
+    identifiers) has no ties, these are the pairs that taking one after the other would take. A round takes one pair at least of each page that has any.
     """
     pairs = box_pairs(left, right.select(*by, F.col("item_id").alias("other_id"), F.col("box").alias("other")), by, g.iou(F.col("box"), F.col("other")) >= least)
-    ranked = F.array_sort(F.collect_list(F.struct((-g.iou(F.col("box"), F.col("other"))).alias("o"), "item_id", "other_id")))
-    none = F.slice(F.col("p"), 1, 0)
-    taken = lambda done, x: F.exists(done, lambda d: (d["item_id"] == x["item_id"]) | (d["other_id"] == x["other_id"]))
-    fold = F.aggregate("p", none, lambda done, x: F.when(taken(done, x), done).otherwise(F.array_append(done, x)))
-    best = pairs.groupBy(*by).agg(ranked.alias("p")).select(*by, F.explode(fold).alias("m")).select(*by, F.col("m.item_id").alias("item_id"), F.col("m.other_id").alias("other_id"), (-F.col("m.o")).alias("iou"))
+    free = _written(pairs.select(*by, "item_id", "other_id", g.iou(F.col("box"), F.col("other")).alias("iou")))
+    best = free.limit(0)
+    order = F.struct((-F.col("iou")).alias("o"), "item_id", "other_id")
+    top = lambda k: F.min(order).over(Window.partitionBy(*by, k))
+    while free.limit(1).count():
+        marked = free.withColumn("_a", top("item_id")).withColumn("_b", top("other_id"))
+        taken = _written(marked.filter((F.col("_a") == order) & (F.col("_b") == order)).drop("_a", "_b"))
+        best = best.unionByName(taken)
+        gone = lambda k: taken.select(*by, k)  # noqa: E731, B023
+        free = _written(free.join(gone("item_id"), [*by, "item_id"], "left_anti").join(gone("other_id"), [*by, "other_id"], "left_anti").select(*by, "item_id", "other_id", "iou"))
     alone = left.select(*by, "item_id").join(best, [*by, "item_id"], "left")
     rest = right.select(*by, F.col("item_id").alias("other_id")).join(best.select(*by, "other_id"), [*by, "other_id"], "left_anti")
     return alone.unionByName(rest, allowMissingColumns=True)
