@@ -14,11 +14,11 @@ from .buckets import classes
 from .common import cut, release, spread_lookup
 
 #: Words in a k-mer, and entries of a sketch; an entry keeps two minima.
-K, ENTRIES = 5, 96
+K, ENTRIES = 5, 64
+#: The same of the second sketch, whose short k-mers stand between edits that come every few words.
+SHORT_K, SHORT_ENTRIES = 2, 32
 #: Further entries with which buckets of unlike texts are divided.
 NEXT = 3
-#: Texts of fewer words have few k-mers of K: they have as many entries of shorter ones besides.
-SHORT, SHORT_K = 150, 2
 SIMILARITY = 0.8
 #: Bits that say of how many words with a certain hash a text has an odd number.
 PARITY = 512
@@ -104,9 +104,8 @@ def sketch(s: np.ndarray, entries: int = ENTRIES, first: int = 0) -> np.ndarray:
 
 
 def entries_of(h: np.ndarray) -> np.ndarray:
-    """The keys under which a text of these word hashes meets others."""
-    own = sketch(kmers(h))
-    return own if len(h) >= SHORT else np.concatenate((own, sketch(kmers(h, SHORT_K), ENTRIES, ENTRIES)))
+    """The keys under which a text of these word hashes meets others: of both sketches, whatever its length."""
+    return np.concatenate((sketch(kmers(h)), sketch(kmers(h, SHORT_K), SHORT_ENTRIES, ENTRIES)))
 
 
 def parity(h: np.ndarray, bits: int = PARITY) -> np.ndarray:
@@ -287,16 +286,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     1. Words are runs of letters and digits in lower case. Texts of equal words are one class from the start; what
        follows has each text once.
-    2. Order MinHash: for each of 96 hash functions the two smallest occurrence-labelled k-mers of five words, in text
-       order, are an entry. Texts with an equal entry are in one bucket. Texts of fewer than 150 words have 96 entries
-       of two-word k-mers besides, as a single edit changes most of their few k-mers of five.
+    2. Order MinHash: for each of 64 hash functions the two smallest occurrence-labelled k-mers of five words, in text
+       order, are an entry, and for each of 32 others the two smallest of two words: an edit in every fifth word leaves no k-mer of five, but
+       three in five of the short ones. Texts with an equal entry are in one bucket.
     3. Pairs of a bucket are aligned: similar if the edit similarity of their words is 0.8 or more. All texts of a bucket are
        compared with its smallest identifier; buckets that aren't of one class then are divided by the entries that
        follow, and compared with another center (`buckets.classes`). So pairs grow with the texts, not
        with the square of a bucket. Pairs are passed over only where a lower bound of their distance says that they can't be similar.
     4. Classes are the connected components of the similar pairs.
 
-    Of pairs with a fifth of their words substituted at random about 97 in 100 share an entry, with a sixth and less nearly
+    Of pairs with a fifth of their words substituted, at random or every fifth, more than 97 in 100 share an entry, at any length, with a sixth and less nearly
     all (`tests/llm/test_near_dedup.py`). Nothing is sampled or capped.
     A null text counts as empty; texts without words are copies only if they are equal. Rows that share an identifier
     share a class if one of them has links. A null identifier makes no links; it gets the class of its copies, or null.

@@ -141,3 +141,29 @@ def test_scattered_edits_share_an_entry():
                     found += bool(set(N.entries_of(N.hashed(a)).tolist()) & set(N.entries_of(N.hashed(b)).tolist()))
                 print(n, share, mixed, found)
                 assert found >= least
+
+
+def test_evenly_spaced_edits_share_an_entry():
+    """Pairs whose every n-th word is another, as in forms and mail merges, out of 60: similarities of 0.80 to 0.88 at lengths from 10 to 1,000."""
+    rng = random.Random(12)
+    for n in (10, 20, 50, 140, 150, 200, 400, 1000):
+        for every in (5, 6, 7, 8):
+            found = 0
+            for _ in range(60):
+                a = [b"%d" % rng.randrange(10**6) for _ in range(n)]
+                b = [b"%d" % rng.randrange(10**6) if i % every == every - 1 else w for i, w in enumerate(a)]
+                found += bool(set(N.entries_of(N.hashed(a)).tolist()) & set(N.entries_of(N.hashed(b)).tolist()))
+            assert found >= 54 and (n < 50 or found >= 57), (n, every, found)
+
+
+def test_mail_merges_are_found(spark):
+    rng = random.Random(13)
+    docs, want = [], {}
+    for form in range(8):
+        base = [f"w{rng.randrange(3000)}" for _ in range((60, 150, 300, 1000)[form % 4])]
+        for copy in range(6):
+            i = form * 6 + copy
+            docs.append((i, " ".join(f"v{rng.randrange(10**6)}" if n % 11 == 10 else w for n, w in enumerate(base))))
+            want[i] = form * 6
+    got = N.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
