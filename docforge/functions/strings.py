@@ -23,9 +23,9 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def company_name(text: Column) -> Column:
-    """Entities resolved, lower case, suffixes and punctuation dropped, blanks collapsed."""
-    t = F.regexp_replace(F.lower(unescape(text)), COMPANY_SUFFIXES, " ")
+def company_name(text: Column, entities: bool = True) -> Column:
+    """Entities resolved (unless told otherwise), lower case, suffixes and punctuation dropped, blanks collapsed."""
+    t = F.regexp_replace(F.lower(unescape(text) if entities else text), COMPANY_SUFFIXES, " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\w\s]", " "), r"\s+", " "))
 
 

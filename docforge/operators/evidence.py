@@ -86,6 +86,11 @@ def render_case(evidence: Column, most: int = 800) -> Column:
     return F.when(F.length(body) > most, F.concat(F.substring(body, 1, most), F.lit("..."))).otherwise(body)
 
 
+def cut_text(value: Column, most: int = 800, mark: str = "... (truncated)") -> Column:
+    """A value's text, cut to `most` characters with a mark that says so."""
+    return F.when(F.length(value) > most, F.concat(F.substring(value, 1, most), F.lit(mark))).otherwise(value)
+
+
 def compressed(ids: Column) -> Column:
     return F.array_join(compress_ids(ids), ",")
 

@@ -66,14 +66,23 @@ def budget_chunks(rows: DataFrame, by: list[str], order: str, chars: Column, mos
     return chunk.select(*by, "chunk", at(F.col("_from")).alias("first"), at(to - 1).alias("last"), (to - F.col("_from")).alias("n"))
 
 
+#: Points by which text may lie off its page.
+OFF_PAGE = 20
+
+
 def lines_from_spans(spans: DataFrame) -> DataFrame:
-    """Spans (doc_id, page, block_id, line_id, span_index, text, box, color) to observations of one line each.
+    """Spans (doc_id, page, block_id, line_id, span_index, text, box, color, font_size) to observations of one line each.
 
-    Blank, near-white, absurdly small or large text is dropped before, the identifier is page * 1000 + number on the page.
+    Blank, near-white, absurdly small or large text is dropped before, and what lies more than 20 points off the page, where
+    page_width and page_height are given; the identifier is page * 1000 + number on the page.
     """
     from ..functions.values import is_near_white, observation_id
 
-    kept = spans.filter((F.trim("text") != "") & ~is_near_white(F.col("color")) & F.col("font_size").between(1, 500))
+    b = F.col("box")
+    near = (b["x1"] >= -OFF_PAGE) & (b["y1"] >= -OFF_PAGE)
+    if {"page_width", "page_height"} <= set(spans.columns):
+        near = near & (b["x0"] <= F.col("page_width") + OFF_PAGE) & (b["y0"] <= F.col("page_height") + OFF_PAGE)
+    kept = spans.filter(near & (F.trim("text") != "") & ~is_near_white(F.col("color")) & F.col("font_size").between(1, 500))
     lines = kept.groupBy("doc_id", "page", "block_id", "line_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_index", "text"))), lambda s: s["text"]), "").alias("text"), g.union_of(F.col("box")).alias("box"))
     out = numbered(lines, ["doc_id", "page"], ["block_id", "line_id"], "_n")

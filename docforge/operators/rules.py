@@ -260,6 +260,17 @@ def _period(rows: DataFrame, wide: DataFrame) -> DataFrame:
     return _failed(_ledger("outside_period")(rows, wide), "bank.period_contains_all_txns", F.concat_ws("..", "PERIOD_START", "PERIOD_END"), F.col("event_date"))
 
 
+#: Columns of each type of table whose first digits are tested.
+BENFORD_COLUMNS = {"BANK_TRANSACTIONS": ["FLOW_OUT", "FLOW_IN"], "COMMERCIAL_LINES": ["ROW_TOTAL", "UNIT_PRICE"], "PAYROLL": ["AMOUNT"]}
+
+
+def benford_amounts(cells: DataFrame) -> DataFrame:
+    """amounts (doc_id, table_ord, column, amount) of table rows (doc_id, table_ord, table_type, cells map): the columns that the type of table has for first digits."""
+    of = F.create_map(*(x for t, cs in BENFORD_COLUMNS.items() for x in (F.lit(t), F.array(*map(F.lit, cs)))))
+    each = cells.select("doc_id", "table_ord", "cells", F.explode(F.try_element_at(of, F.upper("table_type"))).alias("column"))
+    return each.select("doc_id", "table_ord", "column", values.to_decimal(F.try_element_at("cells", F.col("column"))).alias("amount")).filter("amount is not null")
+
+
 def _benford(amounts: DataFrame) -> DataFrame:
     from .stats import benford
 

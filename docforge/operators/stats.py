@@ -113,6 +113,14 @@ def histogram(rows: DataFrame, by: list[str], key: str, weight: Column) -> DataF
     return h.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy(*by)))
 
 
+def coverage(rows: DataFrame, by: list[str], key: str, chars: str, page: str) -> DataFrame:
+    """Each key of a group with n_chars, coverage (percent of the group's characters, two places), its pages in order, and its place, fullest first."""
+    n = rows.groupBy(*by, key).agg(F.sum(chars).alias("n_chars"), F.array_sort(F.collect_set(page)).alias("pages"))
+    whole = Window.partitionBy(*by)
+    out = n.withColumn("coverage", F.round(F.try_divide(F.col("n_chars") * 100.0, F.sum("n_chars").over(whole)), 2))
+    return out.withColumn("place", F.row_number().over(whole.orderBy(F.desc("n_chars"), key)))
+
+
 def dominant(rows: DataFrame, by: list[str], key: str, weight: Column, order: str) -> DataFrame:
     """The heaviest key of each group; of equal ones the one that appears first."""
     h = rows.groupBy(*by, key).agg(F.sum(weight).alias("w"), F.min(order).alias("o"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import strings
-from . import joins, stats
+from . import joins, ransac, stats
 
 PAGE = ["doc_id", "page"]
 #: Confidence of an anomaly that states none.
@@ -147,20 +147,10 @@ def micro_vectors(drawings: DataFrame, chars: DataFrame, zones: DataFrame, least
     return hits, tiny.select(*PAGE, "item_id")
 
 
-def baseline_outliers(glyphs: DataFrame, by: list[str], least: int = 4, confident: float = 0.8, most_z: float = 2.0) -> DataFrame:
-    """Glyphs (x, bottom, height, class, confidence) that stand off their line, fitted through the reliable ones by the median of slopes.
-
-    Off by more than 2 of the residuals' scale and by 1.5 pixels or 3 % of the height; letters with descenders may hang lower.
-    """
-    sure = glyphs.filter((F.col("class") == "reliable") & (F.col("confidence") > confident))
-    enough = sure.groupBy(*by).agg(F.count("*").alias("k")).filter(F.col("k") >= least)
-    line = stats.robust_line(sure.join(enough, by).select(*by, "x", F.col("bottom").alias("y")), by)
-    res = glyphs.join(line, by).withColumn("residual", F.col("bottom") - (F.col("slope") * F.col("x") + F.col("intercept")))
-    scale = res.filter(F.col("class") == "reliable").groupBy(*by).agg((1.4826 * F.median(F.abs("residual"))).alias("sigma"))
-    r = res.join(scale, by)
-    limit = F.greatest(F.lit(1.5), 0.03 * F.col("height"), most_z * F.col("sigma"))
-    hangs = (F.col("class") == "uncertain") & (F.col("residual") > 0) & (F.col("residual") <= 0.4 * F.col("height"))
-    return r.filter((F.abs("residual") > limit) & (F.col("class") != "excluded") & ~hangs)
+def baseline_outliers(glyphs: DataFrame, by: list[str], **options) -> DataFrame:
+    """Glyphs (x, bottom, height, class, confidence, char_confidence) that stand off their line (`ransac.baseline_outliers`); without char_confidence the one confidence counts."""
+    whole = glyphs if "char_confidence" in glyphs.columns else glyphs.withColumn("char_confidence", F.lit(1.0))
+    return ransac.baseline_outliers(whole, by, **options)
 
 
 def chars_to_cells(chars: DataFrame, cells: DataFrame) -> DataFrame:

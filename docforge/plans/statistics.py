@@ -116,6 +116,14 @@ def theil_sen_baseline(spark, sf_dir):
     return stats.robust_line(p, ["g"]).select("g", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "n")
 
 
+@query("""WITH n AS (SELECT lang, source, sum(n_chars) AS n, list_sort(list_distinct(list(doc_id % 9))) AS p FROM documents GROUP BY ALL)
+SELECT lang, source, CAST(n AS BIGINT) AS n_chars, round(n * 100.0 / sum(n) OVER (PARTITION BY lang), 2) AS coverage, array_to_string(p, ',') AS pages, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS place FROM n""")
+def font_coverage(spark, sf_dir):
+    """Percentages by font with the pages that have it, fullest first: sources stand for fonts, languages for documents."""
+    d = table(spark, sf_dir, "documents").select("lang", "source", "n_chars", (F.col("doc_id") % 9).alias("page"))
+    return stats.coverage(d, ["lang"], "source", "n_chars", "page").withColumn("pages", F.array_join("pages", ","))
+
+
 @query("""WITH b AS (SELECT event_type AS k, CAST(floor(value / 10) AS INTEGER) AS bin, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT *, max(n) OVER (PARTITION BY k) AS top, arg_min(bin, (-n, bin)) OVER (PARTITION BY k) AS peak FROM b),
 h AS (SELECT *, bin - row_number() OVER (PARTITION BY k ORDER BY bin) AS island FROM t WHERE n * 2 >= top)
 SELECT k, count(*) AS width FROM h GROUP BY k, island HAVING bool_or(bin = peak)""")

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from docforge.operators import components, grounding, joins, rules, stats, validation, visual
+from docforge.functions import strings
+from docforge.operators import components, evidence, grounding, joins, layout, rules, stats, validation, visual
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
@@ -138,3 +139,23 @@ def test_cells_and_structure(spark):
     pages = spark.createDataFrame([("d", 1)], "doc_id string, page int")
     got = {(r.item, r.kind) for r in validation.structure_conflicts(lines, regions, assigned, pages, spark.createDataFrame([("d", 1), ("d", 2)], "doc_id string, page int")).collect()}
     assert got == {("2", "unassigned_observation"), ("2", "region_without_lines"), ("3", "empty_region"), ("2", "grid_missed_table")}
+
+
+def test_amounts_for_first_digits_are_those_of_the_tables_type(spark):
+    rows = [("d", 0, "bank_transactions", {"FLOW_OUT": "1,200.50", "FLOW_IN": None, "AMOUNT": "7"}), ("d", 1, "PAYROLL", {"AMOUNT": "9"}), ("d", 2, "OFFICIAL", {"AMOUNT": "5"}), ("d", 3, None, {"AMOUNT": "5"})]
+    got = rules.benford_amounts(spark.createDataFrame(rows, "doc_id string, table_ord int, table_type string, cells map<string,string>")).collect()
+    assert {(r.table_ord, r["column"], float(r.amount)) for r in got} == {(0, "FLOW_OUT", 1200.5), (1, "AMOUNT", 9.0)}
+
+
+def test_spans_far_off_the_page_make_no_line(spark):
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    rows = [("in", (10.0, 10.0, 50.0, 20.0)), ("edge", (-15.0, 10.0, -5.0, 20.0)), ("left", (-90.0, 10.0, -30.0, 20.0)), ("right", (630.0, 10.0, 650.0, 20.0)), ("below", (10.0, 830.0, 50.0, 840.0))]
+    spans = spark.createDataFrame([("d", 1, 0, i, 0, t, b, 0, 10.0, 600.0, 800.0) for i, (t, b) in enumerate(rows)], f"doc_id string, page int, block_id int, line_id int, span_index int, text string, box {box}, color int, font_size double, page_width double, page_height double")
+    assert {r.text for r in layout.lines_from_spans(spans).collect()} == {"in", "edge"}
+
+
+def test_values_are_cut_one_by_one(spark):
+    d = spark.createDataFrame([("a" * 800,), ("b" * 801,), (None,)], "v string")
+    assert [r.c for r in d.select(evidence.cut_text(F.col("v")).alias("c")).collect()] == ["a" * 800, "b" * 800 + "... (truncated)", None]
+    names = spark.createDataFrame([("A &amp; B Sdn Bhd",)], "n string").select(strings.company_name(F.col("n")).alias("a"), strings.company_name(F.col("n"), entities=False).alias("b")).first()
+    assert tuple(names) == ("a b", "a amp b")
