@@ -10,15 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import classes
+from .buckets import NEXT, classes
 from .common import cut, release, spread_lookup
 
 #: Words in a k-mer, and entries of a sketch; an entry keeps two minima.
 K, ENTRIES = 5, 64
 #: The same of the second sketch, whose short k-mers stand between edits that come every few words.
 SHORT_K, SHORT_ENTRIES = 2, 32
-#: Further entries with which buckets of unlike texts are divided.
-NEXT = 3
 SIMILARITY = 0.8
 #: Bits that say of how many words with a certain hash a text has an odd number.
 PARITY = 512
