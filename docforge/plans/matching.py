@@ -131,7 +131,8 @@ SELECT page_id AS doc_id, CASE WHEN tex THEN 'pdftex' ELSE 'reportlab' END AS be
 def registry_producers(spark, sf_dir):
     """The best producer by the registry's own fingerprints, of files that name a tool."""
     said = F.when(F.col("page_id") % 3 == 0, "made by pdfTeX-1.40").when(F.col("page_id") % 3 == 1, "ReportLab PDF").otherwise("none")
-    v = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("producer").alias("field"), said.alias("value"))
+    fields = F.array(F.struct(F.lit("producer").alias("field"), said.alias("value")), F.struct(F.lit("title").alias("field"), F.lit("ReportLab").alias("value")))
+    v = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.explode(fields).alias("f")).select("doc_id", "f.*")
     scored = grounding.score_fingerprints(v, dimensions.fingerprints(spark))
     return metadata.best_producers(scored).select("doc_id", "best_producer")
 
