@@ -21,6 +21,11 @@ def latest(objects: DataFrame) -> DataFrame:
     return keyed.filter(F.col("_key").isNull() | (F.col("seq") == F.col("_top.seq"))).drop("_key", "_top")
 
 
+def in_force(objects: DataFrame, *columns: str) -> DataFrame:
+    """latest with these columns, written once: what a plan meets several times would else be read from the files anew each time."""
+    return _written(latest(objects).select("doc_id", *columns))
+
+
 def _has(*keys: str) -> Column:
     return F.arrays_overlap("keys", F.array(*map(F.lit, keys)))
 
@@ -63,7 +68,10 @@ def links(objects: DataFrame) -> DataFrame:
 
 def roots(objects: DataFrame) -> DataFrame:
     """doc_id, id: what the trailers, or streams that serve as such, call the root; a file without any begins at its catalogues."""
-    o = latest(objects)
+    return _roots(latest(objects))
+
+
+def _roots(o: DataFrame) -> DataFrame:
     said = o.filter((F.col("kind") == "trailer") | (F.col("type") == "XRef")).select("doc_id", F.explode(F.filter("refs", lambda r: r["path"] == "Root")).alias("r")).select("doc_id", F.col("r.obj").alias("id")).distinct()
     catalogs = o.filter((F.col("type") == "Catalog") & _own()).select("doc_id", F.col("obj").alias("id"))
     return said.unionByName(catalogs.join(said, "doc_id", "left_anti"))
@@ -98,10 +106,14 @@ def pages(objects: DataFrame) -> DataFrame:
     The tree is walked from the catalogue a level a round, all files at once; a page's place is the list of its places on the way. A node that is
     its own ancestor is passed over.
     """
-    o = _written(latest(objects).filter(_own()).select("doc_id", "obj", "type", "keys", "refs", "values"))
+    return _pages(in_force(objects, "obj", "kind", "type", "keys", "refs", "values"))
+
+
+def _pages(o: DataFrame) -> DataFrame:
+    own = o.filter(_own())
     kids = F.expr("transform(filter(refs, r -> r.path = 'Kids'), (r, i) -> struct(r.obj AS obj, i AS n))")
-    nodes = o.select("doc_id", "obj", "type", kids.alias("kids"), _has("Resources").alias("has_resources"), _at("MediaBox").alias("media"))
-    start = o.filter(F.col("type") == "Catalog").join(roots(objects).withColumnRenamed("id", "obj"), ["doc_id", "obj"], "left_semi")
+    nodes = own.select("doc_id", "obj", "type", kids.alias("kids"), _has("Resources").alias("has_resources"), _at("MediaBox").alias("media"))
+    start = own.filter(F.col("type") == "Catalog").join(_roots(o).withColumnRenamed("id", "obj"), ["doc_id", "obj"], "left_semi")
     level = start.select("doc_id", F.explode(F.filter("refs", lambda r: r["path"] == "Pages")).alias("r")).select("doc_id", F.col("r.obj").alias("obj"), F.array().cast("array<int>").alias("place"), F.array().cast("array<int>").alias("way"), F.lit(None).cast("int").alias("resources_of"), F.lit(None).cast("string").alias("media_box"))
     found = None
     while True:
@@ -121,8 +133,12 @@ def pages(objects: DataFrame) -> DataFrame:
 
 def xobjects(objects: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
     """doc_id, page, page_obj, name, obj: what each page's resources offer to be painted, wherever they are written."""
-    o = latest(objects)
-    p = (pages(objects) if numbered is None else numbered).select("doc_id", "page", F.col("obj").alias("page_obj"), F.col("resources_of").alias("obj"))
+    o = in_force(objects, "obj", "kind", "type", "keys", "refs", "values")
+    return _xobjects(o, _pages(o) if numbered is None else numbered)
+
+
+def _xobjects(o: DataFrame, numbered: DataFrame) -> DataFrame:
+    p = numbered.select("doc_id", "page", F.col("obj").alias("page_obj"), F.col("resources_of").alias("obj"))
     held = p.join(o.filter(_own()).select("doc_id", "obj", "refs"), ["doc_id", "obj"]).drop("obj")
     resources = _through(held, o, "Resources").select("doc_id", "page", "page_obj", F.col("under").alias("refs"))
     offered = _through(resources, o, "XObject").select("doc_id", "page", "page_obj", F.explode("under").alias("x"))
@@ -131,9 +147,14 @@ def xobjects(objects: DataFrame, numbered: DataFrame | None = None) -> DataFrame
 
 def images(objects: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
     """doc_id, page, name, obj, width, height, size (bytes as stored), digest (MD5 of them): the images that each page's resources offer."""
+    o = in_force(objects, "obj", "kind", "type", "subtype", "keys", "refs", "values", "size", "digest")
+    return _images(o, _pages(o) if numbered is None else numbered)
+
+
+def _images(o: DataFrame, numbered: DataFrame) -> DataFrame:
     whole = lambda k: _at(k).try_cast("int").alias(k.lower())
-    o = latest(objects).filter((F.col("kind") == "stream") & (F.col("subtype") == "Image")).select("doc_id", "obj", whole("Width"), whole("Height"), "size", "digest")
-    return xobjects(objects, numbered).join(o, ["doc_id", "obj"]).select("doc_id", "page", "name", "obj", "width", "height", "size", "digest")
+    found = o.filter((F.col("kind") == "stream") & (F.col("subtype") == "Image")).select("doc_id", "obj", whole("Width"), whole("Height"), "size", "digest")
+    return _xobjects(o, numbered).join(found, ["doc_id", "obj"]).select("doc_id", "page", "name", "obj", "width", "height", "size", "digest")
 
 
 def placements(objects: DataFrame) -> DataFrame:
@@ -141,8 +162,8 @@ def placements(objects: DataFrame) -> DataFrame:
 
     The matrix in force maps the unit square; a page's content streams are taken one by one. Images painted within forms are not followed.
     """
-    numbered = _written(pages(objects))
-    o = latest(objects)
+    o = in_force(objects, "obj", "kind", "type", "subtype", "keys", "refs", "values", "size", "digest", "draws")
+    numbered = _written(_pages(o))
     p = numbered.select("doc_id", "page", "obj", "media").join(o.filter(_own()).select("doc_id", "obj", "refs"), ["doc_id", "obj"])
     own = F.transform(F.filter("refs", lambda r: r["path"] == "Contents"), lambda r: r["obj"])
     at = p.select("doc_id", "page", "media", F.posexplode(own).alias("nth", "obj"))
@@ -153,15 +174,15 @@ def placements(objects: DataFrame) -> DataFrame:
     xs = lambda e, a, c: [F.col(f"d.{e}") + x for x in (F.lit(0.0), F.col(f"d.{a}"), F.col(f"d.{c}"), F.col(f"d.{a}") + F.col(f"d.{c}"))]
     x, y, top, left = xs("e", "a", "c"), xs("f", "b", "d"), F.coalesce(F.try_element_at("media", F.lit(4)), F.lit(792.0)), F.coalesce(F.try_element_at("media", F.lit(1)), F.lit(0.0))
     box = g.box(F.least(*x) - left, top - F.greatest(*y), F.greatest(*x) - left, top - F.least(*y))
-    met = drawn.select("doc_id", "page", "nth", "part", "step", F.col("d.name").alias("name"), box.alias("box")).join(images(objects, numbered), ["doc_id", "page", "name"])
+    met = drawn.select("doc_id", "page", "nth", "part", "step", F.col("d.name").alias("name"), box.alias("box")).join(_images(o, numbered), ["doc_id", "page", "name"])
     nth = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("nth", "part", "step")) - 1
     return met.withColumn("_n", nth).select("doc_id", "page", F.format_string("p%d_i%d", "page", "_n").alias("image_id"), "name", "obj", "width", "height", "size", "digest", "box")
 
 
 def annotations(objects: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
     """doc_id, page, type, uri, content, field_name, rect: the notes, links and fields of each page, whether they are objects or stand in the page."""
-    o = latest(objects)
-    p = (pages(objects) if numbered is None else numbered).select("doc_id", "page", "obj")
+    o = in_force(objects, "obj", "parent", "kind", "type", "keys", "refs", "values")
+    p = (_pages(o) if numbered is None else numbered).select("doc_id", "page", "obj")
     held = p.join(o.filter(_own()).select("doc_id", "obj", "refs"), ["doc_id", "obj"])
     direct = held.select("doc_id", "page", F.explode(F.filter("refs", lambda r: r["path"] == "Annots")).alias("r")).select("doc_id", "page", F.col("r.obj").alias("obj"))
     arrays = o.filter(F.col("kind") == "array").select("doc_id", "obj", F.transform("refs", lambda r: r["obj"]).alias("parts"))
@@ -178,7 +199,7 @@ def annotations(objects: DataFrame, numbered: DataFrame | None = None) -> DataFr
 
 def attachments(objects: DataFrame) -> DataFrame:
     """doc_id, obj, name, file_obj, size: the files that a file carries, with the bytes of the stream that holds each."""
-    o = latest(objects)
+    o = in_force(objects, "obj", "kind", "type", "keys", "refs", "values", "size")
     spec = o.filter(_own() & ((F.col("type") == "Filespec") | _has("EF", "EmbeddedFile")))
     name = F.coalesce(*(_at(k) for k in FILE_NAMES), F.concat(F.lit("embedded_"), F.col("obj").cast("string")))
     file = F.try_element_at(F.filter("refs", lambda r: r["path"].isin("EF.F", "EF.UF")), F.lit(1))["obj"]

@@ -137,3 +137,22 @@ def test_any_bytes_give_rows_or_none():
         rows = list(objects(bytes(cut[: rng.randrange(len(cut))])))
         assert all(r["kind"] in ("dict", "stream", "array", "other", "inline", "trailer", "broken") for r in rows)
     assert list(objects(b"1 0 obj " + b"[" * 100_000)) and list(objects(b"1 0 obj " * 2000)) is not None
+
+
+def readings(spark, of):
+    """How often the files are read by an operator on their objects."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    found = of(pdf_objects(spark.createDataFrame([("a", bytearray(build(FIRST)[0]))], "path string, content binary").mapInArrow(counted, "path string, content binary")))
+    assert found.count()
+    return read.value
+
+
+def test_placements_read_the_files_once(spark):
+    assert readings(spark, pdfs.placements) == 1
+    assert readings(spark, pdfs.attachments) == 1
