@@ -63,7 +63,11 @@ def graph(objects: DataFrame) -> DataFrame:
 
 def links(objects: DataFrame) -> DataFrame:
     """doc_id, src, dst, path: the references of the objects in force."""
-    return latest(objects).filter(_own()).select("doc_id", F.col("obj").alias("src"), F.explode("refs").alias("r")).select("doc_id", "src", F.col("r.obj").alias("dst"), F.col("r.path").alias("path"))
+    return _links(latest(objects))
+
+
+def _links(o: DataFrame) -> DataFrame:
+    return o.filter(_own()).select("doc_id", F.col("obj").alias("src"), F.explode("refs").alias("r")).select("doc_id", "src", F.col("r.obj").alias("dst"), F.col("r.path").alias("path"))
 
 
 def roots(objects: DataFrame) -> DataFrame:
@@ -79,11 +83,11 @@ def _roots(o: DataFrame) -> DataFrame:
 
 def orphans(objects: DataFrame) -> DataFrame:
     """doc_id, obj, kind, size, snippet: objects in force that no path leads to from the root. Object streams, cross-reference streams, and what a trailer names besides count as reached."""
-    o = latest(objects)
+    o = in_force(objects, "obj", "kind", "type", "refs", "values", "size", "text")
     named = o.filter((F.col("kind") == "trailer") | (F.col("type") == "XRef")).select("doc_id", F.explode("refs").alias("r")).select("doc_id", F.col("r.obj").alias("id"))
-    start = roots(objects).unionByName(named).distinct()
+    start = _roots(o).unionByName(named).distinct()
     nodes = o.filter(_own() & ~F.coalesce(F.col("type").isin("ObjStm", "XRef"), F.lit(False))).select("doc_id", F.col("obj").alias("id"))
-    lost = unreachable(nodes, links(objects).select("doc_id", "src", "dst").distinct(), start, ["doc_id"])
+    lost = unreachable(nodes, _written(_links(o).select("doc_id", "src", "dst").distinct()), start, ["doc_id"])
     said = F.slice(F.filter(F.array(*(F.when(_at(k).isNotNull(), F.concat(F.lit(f"/{k}: "), F.substring(_at(k), 1, 80))) for k in TEXT_KEYS)), lambda x: x.isNotNull()), 1, 3)
     snippet = F.when(F.col("kind") == "stream", F.coalesce(F.substring("text", 1, 200), F.lit("[binary data]"))).when(F.size(said) > 0, F.substring(F.array_join(said, " | "), 1, 300))
     return o.filter(_own()).join(lost.withColumnRenamed("id", "obj"), ["doc_id", "obj"], "left_semi").select("doc_id", "obj", "kind", "size", snippet.alias("snippet"))

@@ -156,3 +156,7 @@ def readings(spark, of):
 def test_placements_read_the_files_once(spark):
     assert readings(spark, pdfs.placements) == 1
     assert readings(spark, pdfs.attachments) == 1
+
+
+def test_orphans_read_the_files_once(spark):
+    assert readings(spark, pdfs.orphans) == 1
