@@ -109,8 +109,9 @@ def reading_order(elements: DataFrame, orphans: DataFrame, by: list[str]) -> Dat
     """elements (rank, page, y0) with orphans (page, y0) put before the first element that lies further on, numbered anew from 0."""
     e = elements.select(*by, F.lit(None).cast("long").alias("orphan_id"), "page", "y0", "rank", F.lit(1).alias("kind"))
     o = orphans.select(*by, F.col("orphan_id").cast("long").alias("orphan_id"), "page", "y0", F.lit(None).cast(dict(elements.dtypes)["rank"]).alias("rank"), F.lit(0).alias("kind"))
-    # in order of place, elements before orphans of the same place: the least rank of all that follow
-    w = Window.partitionBy(*by).orderBy("page", "y0", F.desc("kind")).rowsBetween(1, Window.unboundedFollowing)
+    # in order of place, elements before orphans of the same place: the least rank of all that follow. Told from the end, as a running
+    # least: a frame that ends at the last row is summed anew for each row
+    w = Window.partitionBy(*by).orderBy(F.desc("page"), F.desc("y0"), "kind").rowsBetween(Window.unboundedPreceding, -1)
     anchor = F.coalesce(F.min("rank").over(w).cast("double"), F.lit(float("inf")))
     both = e.unionByName(o).withColumn("key", F.when(F.col("kind") == 1, F.col("rank").cast("double")).otherwise(anchor)).drop("rank")
     return numbered(both, by, ["key", "kind", "page", "y0", "orphan_id"], "reading_order_index").drop("key")

@@ -50,3 +50,15 @@ def test_lines_from_spans(spark):
     assert [(r.observation_id, r.text, r.box.x1, r.box.y1) for r in layout.lines_from_spans(df).orderBy("observation_id").collect()] == [(2000, "Hello", 9.0, 6.0), (2001, "red", 5.0, 9.0)]
     h = df.limit(1).select(layout.drawing_hash(F.array(F.struct(F.lit("l").alias("op"), F.lit(3.0).alias("x"), F.lit(4.0).alias("y"))), F.lit(1.0), F.lit(1.0)).alias("a"), layout.drawing_hash(F.array(F.struct(F.lit("l").alias("op"), F.lit(13.0).alias("x"), F.lit(14.0).alias("y"))), F.lit(11.0), F.lit(11.0)).alias("b")).first()
     assert h.a == h.b and len(h.a) == 16
+
+
+def test_no_frame_of_the_reading_order_is_summed_anew_for_each_row(spark, capsys):
+    e = spark.createDataFrame([(1, 1, 1, 5.0), (1, 2, 1, 7.0), (1, 3, 2, 1.0)], "doc int, rank int, page int, y0 double")
+    o = spark.createDataFrame([(1, 10, 1, 5.0), (1, 11, 2, 1.0), (1, 12, 1, 1.0), (1, 13, 1, 6.0)], "doc int, orphan_id int, page int, y0 double")
+    found = layout.reading_order(e, o, ["doc"])
+    # an orphan beside an element comes before the next one; after the last element it comes last
+    assert [(r.orphan_id, r.page, r.y0) for r in found.orderBy("reading_order_index").collect()] == [
+        (12, 1, 1.0), (None, 1, 5.0), (10, 1, 5.0), (13, 1, 6.0), (None, 1, 7.0), (None, 2, 1.0), (11, 2, 1.0)
+    ]
+    found.explain()
+    assert "unboundedfollowing" not in capsys.readouterr().out
