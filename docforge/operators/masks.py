@@ -21,14 +21,13 @@ def runs(rows: DataFrame, by: list[str], threshold: float = THRESHOLD) -> DataFr
     on = lambda x: F.coalesce(x > threshold, F.lit(False))
 
     def found(s: Column) -> Column:
-        marks = F.transform(s, on)
-        last = F.size(s) - 1
-        at = F.sequence(F.lit(0), last)
-        starts = F.filter(at, lambda i: F.get(marks, i) & ((i == 0) | ~F.get(marks, i - 1)))
-        ends = F.filter(at, lambda i: F.get(marks, i) & ((i == last) | ~F.get(marks, i + 1)))
-        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("x0"), b.alias("x1")))
-
-    each = rows.filter(F.size("scores") > 0).select(*by, "y", "scores", F.explode(found(F.col("scores"))).alias("r"))
+        # each pixel beside the one before it, and one step past the last: no mark is looked up from within a lambda, which would tell all marks anew
+        marks, none = F.transform(s, on), F.array(F.lit(False))
+        turns = F.zip_with(F.concat(none, marks), F.concat(marks, none), lambda before, now: now.cast("int") - before.cast("int"))
+        at = lambda turn, back: F.array_compact(F.transform(turns, lambda t, i: F.when(t == turn, i - back)))
+        return F.zip_with(at(1, 0), at(-1, 1), lambda a, b: F.struct(a.alias("x0"), b.alias("x1")))
+
+    each = rows.select(*by, "y", "scores", F.explode(found(F.col("scores"))).alias("r"))
     length = F.col("r.x1") - F.col("r.x0") + 1
     total = F.aggregate(F.slice("scores", F.col("r.x0") + 1, length), F.lit(0.0), lambda a, x: a + x)
     return each.select(*by, "y", F.col("r.x0").alias("x0"), F.col("r.x1").alias("x1"), length.cast("long").alias("n"), total.alias("total"))

@@ -62,3 +62,20 @@ def test_density_crop(spark):
     d = spark.createDataFrame([(c, *map(float, b), [float(v) for v in s]) for c, *b, s in rows], "c string, x0 double, y0 double, x1 double, y1 double, s array<double>")
     got = d.select("c", masks.density_crop(g.box("x0", "y0", "x1", "y1"), F.col("s"), F.col("c")).alias("b")).collect()
     assert {r.c: (r.b.y0, r.b.y1) for r in got} == {"m": (12, 14), "1": (11, 14), "l": (10, 16), "w": (10, 16), "W": (1, 4), "": (1, 2)}
+
+
+def test_runs_of_a_row_of_any_width(spark):
+    import random
+    import time
+
+    rng = random.Random(3)
+    rows = [[rng.choice((0.1, 0.6, 0.9, None)) for _ in range(n)] for n in (1, 2, 7, 60, 60)] + [[], None, [0.9, 0.9], [0.1], [0.7] + [0.2] * 20_000 + [0.8]]
+    want = set()
+    for y, row in enumerate(rows):
+        on = [False, *(x is not None and x > 0.5 for x in row or []), False]
+        starts, ends = ([i for i in range(1, len(on)) if on[i - a] != on[i - b] and on[i - b]] for a, b in ((1, 0), (0, 1)))
+        want |= {(y, a - 1, b - 2) for a, b in zip(starts, ends)}
+    began = time.time()
+    got = {(r.y, r.x0, r.x1) for r in masks.runs(spark.createDataFrame(list(enumerate(rows)), "y int, scores array<double>").withColumn("p", F.lit(1)), ["p"]).collect()}
+    assert got == want
+    assert time.time() - began < 20  # marks told anew for each pixel are the square of a row's width
