@@ -214,6 +214,10 @@ def register(rule: Rule) -> None:
     REGISTRY[rule.name] = rule
 
 
+#: Documents whose results a task sorts at a time, where they meet their types.
+DOCUMENTS = 250_000
+
+
 def run_rules(tables: dict[str, DataFrame], enabled: set[str] | None = None, columns: tuple[str, ...] = RESULT_COLUMNS) -> DataFrame:
     """The results of all registered rules whose tables are given.
 
@@ -222,7 +226,7 @@ def run_rules(tables: dict[str, DataFrame], enabled: set[str] | None = None, col
     one row without a document where that table isn't given.
     """
     documents = tables.get("documents")
-    parts = []
+    parts, types = [], {(): 0}
     for rule in REGISTRY.values():
         if (enabled is not None and rule.name not in enabled) or not all(n in tables for n in rule.needs):
             continue
@@ -233,12 +237,18 @@ def run_rules(tables: dict[str, DataFrame], enabled: set[str] | None = None, col
             out = of.select("doc_id", F.lit(rule.name).alias("rule_name"), F.lit("skipped").alias("status"), F.lit(str(e)[:200]).alias("reason"))
         kind = lambda c: "int" if c == "row_index" else "string"
         part = out.select(*(F.col(c).cast(kind(c)) if c in out.columns else F.lit(None).cast(kind(c)).alias(c) for c in columns))
-        parts.append(part.withColumn("_types", F.array(*map(F.lit, rule.document_types)).cast("array<string>")))
+        types.setdefault(rule.document_types, len(types))
+        parts.append(part.withColumn("_types", F.lit(types[rule.document_types])))
     out = reduce(DataFrame.unionByName, parts)
     if documents is not None:
         of_type = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.upper("document_type").alias("_type"))
-        typed = out.filter(F.size("_types") > 0).join(of_type, "doc_id").filter(F.array_contains("_types", F.col("_type"))).drop("_type")
-        out = out.filter(F.size("_types") == 0).unionByName(typed)
+        # so many tasks that none has the results of more than some DOCUMENTS
+        spark = documents.sparkSession
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // DOCUMENTS))
+        dealt = out.filter(F.col("_types") > 0).repartition(tasks, "doc_id")
+        fits = reduce(Column.__or__, (F.col("_types").eqNullSafe(n) & F.col("_type").isin(*of) for of, n in types.items() if of), F.lit(False))
+        typed = dealt.join(of_type.repartition(tasks, "doc_id"), "doc_id").filter(fits).drop("_type")
+        out = out.filter(F.col("_types") == 0).unionByName(typed)
     return out.drop("_types")
 
 
