@@ -46,12 +46,18 @@ def crossings(found: DataFrame, by: list[str], tolerance: float = TOLERANCE, rou
 
     An edge that meets fewer than two others bounds no cell and goes, and so do edges that then meet fewer, `rounds` times.
     """
-    t = F.lit(tolerance)
-    level = found.filter("across").select(*by, F.col("edge").alias("h"), F.col("at").alias("y"), g.box(F.col("low") - t, F.col("at") - t, F.col("high") + t, F.col("at") + t).alias("box"))
-    upright = found.filter("not across").select(*by, F.col("edge").alias("v"), F.col("at").alias("x"), g.box("at", "low", "at", "high").alias("other"))
-    b, o = F.col("box"), F.col("other")
-    on = F.col("x").between(b["x0"], b["x1"]) & (o["y0"] <= b["y1"]) & (o["y1"] >= b["y0"])
-    points = joins.box_pairs(level, upright, by, on, size=128.0).select(*by, "x", "y", "h", "v")
+    t, size = F.lit(tolerance), 128.0
+    level = g.box(F.col("low") - t, F.col("at") - t, F.col("high") + t, F.col("at") + t)
+    reach = F.when(F.col("across"), level).otherwise(g.box("at", "low", "at", "high"))
+    # the edges of a grid cell are few, as those on one line lie apart: gathered by page and cell, so that what is dealt by page stays where it is
+    own = F.struct("edge", "at", "low", "high", F.floor(F.col("reach.x0") / size).cast("int").alias("cx"), F.floor(F.col("reach.y0") / size).cast("int").alias("cy"))
+    near = found.withColumn("reach", reach).select(*by, "across", own.alias("e"), F.explode(g.cells(F.col("reach"), size)).alias("_k")).groupBy(*by, F.col("_k.x").alias("_kx"), F.col("_k.y").alias("_ky"))
+    side = lambda is_level: F.collect_list(F.when(F.col("across") == is_level, F.col("e")))
+    both = near.agg(side(True).alias("level"), side(False).alias("upright")).withColumn("a", F.explode("level")).withColumn("b", F.explode("upright"))
+    a, b = F.col("a"), F.col("b")
+    first = (F.col("_kx") == F.greatest(a["cx"], b["cx"])) & (F.col("_ky") == F.greatest(a["cy"], b["cy"]))  # of the cells that both touch
+    on = b["at"].between(a["low"] - t, a["high"] + t) & (b["low"] <= a["at"] + t) & (b["high"] >= a["at"] - t)
+    points = both.filter(first & on).select(*by, b["at"].alias("x"), a["at"].alias("y"), a["edge"].alias("h"), b["edge"].alias("v"))
     for _ in range(rounds):
         n = lambda e: F.count("*").over(Window.partitionBy(*by, e))
         points = points.withColumn("_h", n("h")).withColumn("_v", n("v")).filter("_h > 1 and _v > 1").drop("_h", "_v")
@@ -59,6 +65,14 @@ def crossings(found: DataFrame, by: list[str], tolerance: float = TOLERANCE, rou
     return points.withColumn("last_x", last("h", "x")).withColumn("last_y", last("v", "y"))
 
 
+def _corners(points: DataFrame, by: list[str]) -> DataFrame:
+    """points with r (x, v) and d (y, h): the next crossing on the level edge that goes on downwards, and on the upright one that goes on to the right; null but for corners."""
+    right = Window.partitionBy(*by, "h").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*by, "v").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
+    near = lambda stops, what, w: F.when(~F.col("last_x") & ~F.col("last_y"), F.last(F.when(~F.col(stops), what), ignorenulls=True).over(w))
+    return points.withColumn("r", near("last_y", F.struct("x", "v"), right)).withColumn("d", near("last_x", F.struct("y", "h"), below))
+
+
 def cells(points: DataFrame, by: list[str]) -> DataFrame:
     """by, x0, y0, x1, y1: for each corner the least rectangle (lowest side first, then the right one) whose sides all lie on edges.
 
@@ -67,11 +81,7 @@ def cells(points: DataFrame, by: list[str]) -> DataFrame:
     rectangle (a rule ends within it) try the other crossings of their two edges.
     """
     points = components._written(points)
-    right = Window.partitionBy(*by, "h").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)
-    below = Window.partitionBy(*by, "v").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
-    near = lambda stops, what, w: F.last(F.when(~F.col(stops), what), ignorenulls=True).over(w)
-    corner = points.withColumn("r", near("last_y", F.struct("x", "v"), right)).withColumn("d", near("last_x", F.struct("y", "h"), below))
-    corner = corner.filter("not last_x and not last_y and r is not null and d is not null")
+    corner = _corners(points, by).filter("r is not null and d is not null")
     opposite = points.select(*by, F.col("h").alias("_h"), F.col("v").alias("_v"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     met = components._written(corner.select(*by, "x", "y", "h", "v", F.col("d.h").alias("_h"), F.col("r.v").alias("_v")).join(opposite, [*by, "_h", "_v"], "left").drop("_h", "_v"))
     rest = met.filter("x1 is null").drop("x1", "y1")
@@ -114,12 +124,55 @@ def tables(found: DataFrame, by: list[str], least: int = 2) -> DataFrame:
     )
 
 
-def table_cells(drawings: DataFrame, by: list[str], tolerance: float = TOLERANCE) -> DataFrame:
+def _plain(points: DataFrame, by: list[str]) -> DataFrame:
+    """by, x0, y0, x1, y1, row_run, table (numbers of cells) of the corners of pages; x1 is null where the face is no rectangle, as told in `cells`.
+
+    A cell's table is the least cell that an unbroken row, a column and a row lead to. All is told by windows and groups within a page, none by a join.
+    """
+    met = _corners(points, by)
+    # a crossing says where it lies under its own edges, a corner asks under those of the crossing across
+    says, asks = F.struct("h", "v", F.lit(False).alias("asks")), F.when(F.col("r").isNotNull() & F.col("d").isNotNull(), F.struct(F.col("d.h").alias("h"), F.col("r.v").alias("v"), F.lit(True).alias("asks")))
+    each = met.select(*by, "x", "y", F.explode(F.array_compact(F.array(says, asks))).alias("k")).select(*by, "x", "y", "k.*")
+    at = Window.partitionBy(*by, "h", "v")
+    there = lambda c: F.max(F.when(~F.col("asks"), F.col(c))).over(at)
+    found = each.withColumn("x1", there("x")).withColumn("y1", there("y")).filter("asks").select(*by, F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
+    c = layout.numbered(found, by, ["y0", "x0"], "table")
+    for fixed, start, end, run in ((["y0", "y1"], "x0", "x1", "row_run"), (["x0", "x1"], "y0", "y1", "col_run")):
+        c = layout.sessions(c, [*by, *fixed], start, end, F.lit(0.0)).withColumnRenamed("session", run)
+        c = c.withColumn("table", F.min("table").over(Window.partitionBy(*by, *fixed, run)))
+    return c.withColumn("table", F.min("table").over(Window.partitionBy(*by, "y0", "y1", "row_run"))).drop("col_run")
+
+
+def _odd(plain: DataFrame, by: list[str]) -> DataFrame:
+    """by of the pages that `_plain` doesn't finish: a face is no rectangle, or cells that share a corner have two tables."""
+    corners = F.explode(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("x0", "x1") for y in ("y0", "y1"))))
+    shared = plain.select(*by, corners.alias("p"), "table", F.col("x1").isNull().alias("open")).groupBy(*by, F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    told = shared.agg(F.min("table").alias("low"), F.max("table").alias("high"), F.max("open").alias("open"))
+    return told.filter("open or low <> high").select(*by).distinct()
+
+
+def table_cells(drawings: DataFrame, by: list[str], tolerance: float = TOLERANCE, least: int = 2) -> DataFrame:
     """by, table_id, row, col, box of the cells of all ruled tables in the drawings (by, kind, box) of each page.
 
-    Windows are by page and edge; crossings are met by grid cells. A page without crossing rules has no rows.
+    Drawings that are dealt by page are never shuffled again: windows and groups are by page and edge, crossings are met by grid cells. Pages with a face that is no
+    rectangle, or with cells that hang together by more than a row, a column and a row, are told first; only those have their cells written, and linked in rounds.
+    A page without crossing rules has no rows.
     """
-    return tables(cells(crossings(edges(rules(drawings, by), by, tolerance), by, tolerance), by), by)
+    points = crossings(edges(rules(drawings, by), by, tolerance), by, tolerance)
+    plain = _plain(points, by)
+    odd = components._written(_odd(plain, by))
+    if not odd.limit(1).count():
+        return _numbered_tables(plain, by, least)
+    met = joins.small(odd)
+    return _numbered_tables(plain.join(met, by, "left_anti"), by, least).unionByName(tables(cells(points.join(met, by, "left_semi"), by), by, least))
+
+
+def _numbered_tables(plain: DataFrame, by: list[str], least: int) -> DataFrame:
+    """by, table_id, row, col, box of the tables of `_plain` that have `least` cells."""
+    whole = Window.partitionBy(*by, "table")
+    order = lambda w, c: F.dense_rank().over(w.orderBy(c)) - 1
+    kept = plain.withColumn("_n", F.count("*").over(whole)).filter(F.col("_n") >= least)
+    return kept.select(*by, order(Window.partitionBy(*by), "table").alias("table_id"), order(whole, "y0").alias("row"), order(whole, "x0").alias("col"), g.box("x0", "y0", "x1", "y1").alias("box"))
 
 
 def regions(found: DataFrame, by: list[str]) -> DataFrame:

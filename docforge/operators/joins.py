@@ -17,10 +17,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows dealt by their keys to a task for each core, and to as many as a shuffle has, at least: for costly work on few bytes, which adaptive execution would gather in one task."""
+def spread(rows: DataFrame, *keys: str, most: int | None = None) -> DataFrame:
+    """rows dealt by their keys to a task for each core, and to as many as a shuffle has, at least: for costly work on few bytes, which adaptive execution would gather in one task.
+
+    With `most`, rows are counted and dealt to so many tasks that each gets some `most` rows.
+    """
     spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(max(least, -(-rows.count() // most)) if most else least, *keys)
 
 
 def intervals(versions: DataFrame, keys: list[str], since: str) -> DataFrame:

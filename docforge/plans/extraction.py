@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import domains, schemas
 from ..functions import geometry as g
-from ..operators import grids, masks, pdfs, ransac
+from ..operators import grids, joins, masks, pdfs, ransac
 from ..sources.pdf_objects import pdf_objects
 from .base import query, table
 
 # ---- ruled tables: a page for each order, a row for each line item
 
 
+#: Line items of the pages that a task has at a time: what they draw takes some 15 KB an item in its sorts.
+ITEMS = 100_000
+
+
 def _drawings(spark, sf_dir) -> DataFrame:
     """Each line item draws its row: upper and lower rule, each in two strokes a point apart; four uprights (two for one item in three, whose first cells are merged);
     an upright that crosses nothing, and one that crosses a single rule. Every third order draws its cells as boxes instead."""
@@ -25,7 +29,8 @@ def _drawings(spark, sf_dir) -> DataFrame:
     merged = F.col("l_linenumber") % 3 == 0
     boxes = F.when(merged, F.array(rect(50, 250), rect(250, 350))).otherwise(F.array(rect(50, 150), rect(150, 250), rect(250, 350)))
     ruled = F.concat(F.array(*strokes, *frame), F.when(merged, F.array(*loose)).otherwise(F.array(inner)))
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), "l_linenumber", (100 + 20 * F.col("l_linenumber")).alias("y")).distinct()
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), "l_linenumber", (100 + 20 * F.col("l_linenumber")).alias("y"))
+    li = joins.spread(li, "page", most=ITEMS).distinct()  # rows are dealt by page before they draw
     return li.select("page", F.explode(F.when(F.col("page") % 3 == 0, boxes).otherwise(ruled)).alias("d")).select("page", "d.*")
 
 

@@ -110,3 +110,29 @@ def test_merged_cells_keep_their_place(spark):
 def test_no_drawings(spark):
     assert grids.table_cells(drawn(spark, []), ["page"]).collect() == []
     assert grids.regions(grids.table_cells(drawn(spark, [(1, "line", 0, 0, 50, 0)]), ["page"]), ["page"]).select(F.col("page")).collect() == []
+
+
+def test_pages_that_hang_together_by_corners_only_beside_plain_ones(spark):
+    steps = [(1, "rect", 40 * i, 40 * i, 40 * i + 40, 40 * i + 40) for i in range(5)]
+    plain = [(2, "rect", 40 * i, 30 * j, 40 * i + 40, 30 * j + 30) for i in range(3) for j in range(2)]
+    got = sorted((r.page, r.table_id, r.row, r.col) for r in grids.table_cells(drawn(spark, steps + plain), ["page"]).collect())
+    assert got == [(1, 0, i, i) for i in range(5)] + [(2, 0, j, i) for j in range(2) for i in range(3)]
+
+
+def test_drawings_dealt_by_page_are_not_shuffled_again(spark, monkeypatch):
+    """Plain pages: neither crossings nor cells are written or dealt anew; only the pages that are odd would be."""
+    written = []
+    monkeypatch.setattr(grids.components, "_written", lambda df: written.append(df) or df)
+    rows = [(p, "rect", 40 * i, 30 * j, 40 * i + 40, 30 * j + 30) for p in range(3) for i in range(3) for j in range(2)]
+    got = grids.table_cells(drawn(spark, rows).repartition(4, "page"), ["page"])
+    assert [df.columns for df in written] == [["page"]]
+    for df in (got, written[0]):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert got.count() == 18
+
+
+def test_no_task_draws_more_than_so_many_items(spark, monkeypatch):
+    from docforge.plans import extraction
+
+    monkeypatch.setattr(extraction, "ITEMS", 60)
+    assert extraction._drawings(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 90
