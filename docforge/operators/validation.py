@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, fuzzy, strings, values
+from . import joins
 
 #: Classes of table columns.
 DATE_COLUMNS = ["EVENT_DATE", "POSTING_DATE", "ISSUE_DATE", "EXPIRY_DATE", "VALID_FROM", "VALID_UNTIL", "START_DATE", "END_DATE", "DEADLINE", "PERIOD_START", "PERIOD_END"]
@@ -13,11 +14,14 @@ TEXT_COLUMNS = ["DESC", "PRODUCT", "REFERENCE"]
 
 
 def cited(rows: DataFrame, lines: DataFrame, ids: str = "obs", key: str = "row_id") -> DataFrame:
-    """rows with seen and seen_lines: the texts of the lines that their identifiers name, in order, joined and as a list; empty without any."""
+    """rows with seen and seen_lines: the texts of the lines that their identifiers name, in order, joined and as a list; empty without any.
+
+    Rows are dealt to all cores, as they are few bytes that cost much to compare.
+    """
     first = lines.groupBy("doc_id", "observation_id").agg(F.min("text").alias("text"))
     each = rows.select("doc_id", key, F.posexplode(ids).alias("_p", "observation_id"))
     seen = each.join(first, ["doc_id", "observation_id"]).groupBy("doc_id", key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "text"))), lambda x: x["text"]).alias("seen_lines"))
-    out = rows.join(seen, ["doc_id", key], "left").withColumn("seen_lines", F.coalesce("seen_lines", F.array().cast("array<string>")))
+    out = joins.spread(rows, "doc_id", key).join(seen, ["doc_id", key], "left").withColumn("seen_lines", F.coalesce("seen_lines", F.array().cast("array<string>")))
     return out.withColumn("seen", F.array_join("seen_lines", " "))
 
 
@@ -78,7 +82,7 @@ def structure_conflicts(lines: DataFrame, regions: DataFrame, assigned: DataFram
     """
     lost = lines.join(assigned.filter("region_id is not null"), ["doc_id", "observation_id"], "left_anti").select("doc_id", F.col("observation_id").cast("string").alias("item"), F.lit("unassigned_observation").alias("kind"))
     texts = assigned.join(lines, ["doc_id", "observation_id"]).groupBy("doc_id", "region_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("observation_id", "text"))), lambda x: x["text"]), " ").alias("seen"))
-    r = regions.filter("is_text").join(texts, ["doc_id", "region_id"], "left")
+    r = joins.spread(regions.filter("is_text"), "doc_id", "region_id").join(texts, ["doc_id", "region_id"], "left")
     claims = F.coalesce(F.trim("text"), F.lit("")) != ""
     kind = F.when(claims & F.col("seen").isNull(), "region_without_lines").when(~claims & F.col("seen").isNull(), "empty_region").when(claims & (fuzzy.similarity(F.col("text"), F.col("seen")) < least), "text_differs")
     bad = r.withColumn("kind", kind).filter("kind is not null").select("doc_id", F.col("region_id").cast("string").alias("item"), "kind")

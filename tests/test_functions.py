@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,3 +120,28 @@ def test_covered_tokens_are_those_that_score_one_by_one():
         tokens = {"".join(rng.choice("abcdeABf1") for _ in range(rng.choice([1, 2, 3, 5, 8, 15, 16, 17, 31, 33, 70]))) for _ in range(6)} | {text[3:9].replace(" ", "x") or "a"}
         threshold = rng.choice([40, 60, 80, 90])
         assert not text or fuzzy.covered_tokens(tokens, text, threshold) == {t for t in tokens if fuzzy.token_score(t, text) >= threshold}
+
+
+def test_pairs_compared_at_once(monkeypatch):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ab c\0é𝒳.1") for _ in range(n))
+    pairs = [(word(n), word(m)) for n in (0, 1, 2, 15, 16, 31, 32, 62, 63, 64) for m in (0, 1, 15, 16, 40, 63, 64, 90) for _ in range(2)] + [(w, w) for w in ("a", "bc")]
+    values, texts = [a for a, _ in pairs] + [None], [[b, a[::-1]] for a, b in pairs] + [None]
+    for stretches, most in ((1 << 15, 20_000), (30, 3)):
+        monkeypatch.setattr(fuzzy, "STRETCHES", stretches)
+        monkeypatch.setattr(fuzzy, "PAIRS", most)
+        assert list(fuzzy.partial_ratios(pairs)) == [fuzzy.partial_ratio(*p) for p in pairs]
+        for v, known, share in zip(values, texts, fuzzy.coverages(values, texts, [60] * len(values))):
+            tokens = fuzzy.TOKEN.findall(v or "")
+            met = sum(any(x.strip() and fuzzy.token_score(t, x.strip()) >= 60 for x in known or ()) for t in tokens)
+            assert share == (met / len(tokens) if tokens else 1.0)
+
+
+def test_a_thousand_pairs_of_lines_take_a_fraction_of_one_at_a_time():
+    rng = random.Random(10)
+    pairs = [tuple("".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(2)) for _ in range(1000)]
+    start = time.perf_counter()
+    got = fuzzy.text_similarities(pairs)
+    at_once, start = time.perf_counter() - start, time.perf_counter()
+    want = [max(fuzzy.token_sort_ratio(*p), fuzzy.partial_ratio(*p)) / 100 for p in ((a.strip(), b.strip()) for a, b in pairs)]
+    assert got == want and at_once < (time.perf_counter() - start) / 2

@@ -54,3 +54,16 @@ def test_against_a_row_by_row_version(spark):
     got = {g for g in got if g[2] != "missing_source"}
     assert got == want, (sorted(got - want)[:5], sorted(want - got)[:5])
     assert {"vlm_ocr_text_mismatch", "text_differs", "unassigned_observation"} <= {k for _, _, k in got}
+
+
+def test_comparisons_are_not_gathered_in_few_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from docforge.operators import validation
+
+    lines = spark.range(40).select((F.col("id") % 4).cast("string").alias("doc_id"), F.col("id").cast("int").alias("observation_id"), F.lit("some text").alias("text"))
+    rows = lines.select("doc_id", F.col("observation_id").alias("row_id"), F.array("observation_id").alias("obs"))
+    found = validation.cited(rows, lines)
+    assert found.count() == 40
+    # adaptive execution joins partitions of few bytes unless their number is asked for
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
