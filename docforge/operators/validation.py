@@ -76,7 +76,7 @@ def targets_against_lines(targets: DataFrame, lines: DataFrame) -> DataFrame:
 
 def structure_conflicts(lines: DataFrame, regions: DataFrame, assigned: DataFrame, tables: DataFrame, layout_tables: DataFrame, least: float = 0.7) -> DataFrame:
     """Conflicts of a page's structure: lines in no region, text regions without lines or text, regions whose text
-    differs from their lines', and tables of the layout that the grid detector missed (where it ran at all).
+    differs from their lines' (whole texts are compared), and tables of the layout that the grid detector missed (where it ran at all).
 
     assigned: doc_id, observation_id, region_id. Tables: doc_id, page.
     """
@@ -84,7 +84,7 @@ def structure_conflicts(lines: DataFrame, regions: DataFrame, assigned: DataFram
     texts = assigned.join(lines, ["doc_id", "observation_id"]).groupBy("doc_id", "region_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("observation_id", "text"))), lambda x: x["text"]), " ").alias("seen"))
     r = joins.spread(regions.filter("is_text"), "doc_id", "region_id").join(texts, ["doc_id", "region_id"], "left")
     claims = F.coalesce(F.trim("text"), F.lit("")) != ""
-    kind = F.when(claims & F.col("seen").isNull(), "region_without_lines").when(~claims & F.col("seen").isNull(), "empty_region").when(claims & (fuzzy.similarity(F.col("text"), F.col("seen")) < least), "text_differs")
+    kind = F.when(claims & F.col("seen").isNull(), "region_without_lines").when(~claims & F.col("seen").isNull(), "empty_region").when(claims & ~fuzzy.is_alike(F.col("text"), F.col("seen"), least), "text_differs")
     bad = r.withColumn("kind", kind).filter("kind is not null").select("doc_id", F.col("region_id").cast("string").alias("item"), "kind")
     ran = tables.select("doc_id").distinct()
     missed = layout_tables.join(ran, "doc_id", "left_semi").join(tables.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti").select("doc_id", F.col("page").cast("string").alias("item"), F.lit("grid_missed_table").alias("kind"))

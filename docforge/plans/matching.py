@@ -210,7 +210,7 @@ def text_cross_validation(spark, sf_dir):
     """Targets, table cells and layout regions made of each conversation's turns, against the lines (the turns) that they cite: what the lines don't have.
 
     A target's value is the turn's last three words, its keys are the third word and a number; it cites the turn before. A cell has the turn's first four words and cites
-    the turn itself, every third one nothing, so that its table's lines count. A region has the next turn's text, every second one its own.
+    the turn itself, every third one nothing, so that its table's lines count. A region has the next turn's whole text, every second one its own.
     """
     c = joins.spread(table(spark, sf_dir, "conversations"), "conv_id").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
     lines = c.select("doc_id", F.col("turn").alias("observation_id"), "text")
@@ -222,13 +222,12 @@ def text_cross_validation(spark, sf_dir):
     cells = c.select("doc_id", F.lit(0).alias("table_ord"), F.col("turn").alias("row_idx"), F.lit("DESC").alias("column"), F.array_join(F.slice(words, 1, 4), " ").alias("value"),
         F.when(F.col("turn") % 3 == 0, none).otherwise(ids(F.col("turn"))).alias("obs"), F.array(F.lit(0), F.lit(1)).alias("table_obs"))
     after = F.lead("text").over(Window.partitionBy("doc_id").orderBy("turn"))
-    regions = c.select("doc_id", F.col("turn").alias("region_id"), F.lit(True).alias("is_text"), F.substring(F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.coalesce(after, F.lit(""))), 1, 60).alias("text"))
+    regions = c.select("doc_id", F.col("turn").alias("region_id"), F.lit(True).alias("is_text"), F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.coalesce(after, F.lit(""))).alias("text"))
     assigned = c.select("doc_id", F.col("turn").alias("observation_id"), F.when(F.col("turn") % 5 != 4, F.col("turn")).alias("region_id"))
-    cut = lines.withColumn("text", F.substring("text", 1, 60))
     nothing = c.filter("false").select("doc_id", F.lit(1).alias("page"))
     found = validation.targets_against_lines(targets, lines).select("doc_id", F.concat_ws(".", F.lit("target"), "ord", "pos").alias("item"), "kind")
     found = found.unionByName(validation.cells_against_lines(cells, lines).select("doc_id", F.concat_ws(".", F.lit("cell"), "row_idx").alias("item"), "kind"))
-    return found.unionByName(validation.structure_conflicts(cut, regions, assigned, nothing, nothing).select("doc_id", F.concat_ws(".", F.lit("page"), "item").alias("item"), "kind"))
+    return found.unionByName(validation.structure_conflicts(lines, regions, assigned, nothing, nothing).select("doc_id", F.concat_ws(".", F.lit("page"), "item").alias("item"), "kind"))
 
 
 @query(r"""WITH c AS (SELECT conv_id, turn, text, list(lower(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS t, regexp_extract_all(text, '[A-Za-z]+|[0-9]+(?:[.,][0-9]+)?') AS w FROM conversations)

@@ -67,3 +67,24 @@ def test_comparisons_are_not_gathered_in_few_tasks(spark):
     assert found.count() == 40
     # adaptive execution joins partitions of few bytes unless their number is asked for
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_regions_are_compared_by_their_whole_texts(spark, tmp_path):
+    words = lambda k: " ".join(f"{chr(97 + k)}{chr(97 + i % 23)}{i * k % 97}" for i in range(150))
+    same, other, third = "one beginning that all of these turns have in common, of seventy letters ", words(3), words(7)
+    # turn 1 claims the text of turn 2: alike in their first sixty characters only in conversation 1, everywhere but there in conversation 2
+    rows = [(1, 1, "user", same + other), (1, 2, "user", same + third), (2, 1, "user", "x" * 60 + other), (2, 2, "user", "y" * 60 + other)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalog.queries()["text_cross_validation"](spark, str(tmp_path)).filter("kind = 'text_differs'").select("doc_id", "item").collect()
+    assert {tuple(r) for r in got} == {("1", "page.1")}
+
+
+def test_alike_is_text_similarity_against_a_limit():
+    import random
+
+    draw = random.Random(5)
+    for _ in range(1500):
+        a = "".join(draw.choices("ab c", k=draw.randint(0, 40)))
+        b = a[draw.randint(0, 8) :] + "".join(draw.choices("ab cd", k=draw.randint(0, 30))) if draw.random() < 0.5 else "".join(draw.choices("ab cd", k=draw.randint(0, 90)))
+        for least in (0.0, 0.5, 0.7, 0.75, 0.9, 1.0):
+            assert fuzzy.alike(a, b, least) == (fuzzy.text_similarity(a, b) >= least), (a, b, least)
