@@ -43,6 +43,39 @@ def test_parity_bounds_the_distance(a, b):
     assert np.unpackbits(p ^ q).sum() <= 2 * levenshtein(a, b)
 
 
+def test_bits_tell_texts_of_repeated_words_apart(spark):
+    """Words that come an even number of times leave no plain parity; long texts have more words than plain bits."""
+    draw = random.Random(11)
+    runs = lambda names, n: [w for w in names for _ in range(n)]
+    edited = lambda w: [f"new{i}" if draw.random() < 0.15 else x for i, x in enumerate(w)]
+    vocabulary = [f"v{i}" for i in range(3000)]
+    long = draw.choices(vocabulary, k=1900)
+    texts = [runs("abcdefgh", 40), runs("ijklmnop", 40), long, edited(long), draw.choices(vocabulary, k=2100), draw.choices(vocabulary, k=1950)]
+    texts += [w + ["more"] * 30 for w in texts[2:3]] + [edited(draw.choices(vocabulary, k=250))]
+    rows = list(N._sketches(iter([N.pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [" ".join(t) for t in texts], "h": [0] * len(texts)})])))[0].to_pydict()
+    own = spark.createDataFrame(list(zip(rows["doc_id"], zip(rows["n"], rows["p"], rows["fine"]))), "x long, own struct<n: int, p: array<bigint>, fine: array<bigint>>")
+    pairs = own.alias("a").join(own.withColumnsRenamed({"x": "y", "own": "other"}).alias("b"), N.F.expr("x < y"))
+    left = {tuple(r) for r in pairs.filter(N._may_be_alike(N.F.col("own"), N.F.col("other"))).select("x", "y").collect()}
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if N.similar(*(N.hashed([w.encode() for w in texts[k]]) for k in (i, j)))}
+    assert {(2, 3), (2, 6), (3, 6)} <= alike <= left
+    assert not left & {(0, 1), (2, 4), (2, 5), (4, 5)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=40), st.lists(st.integers(0, 30), max_size=40), st.sampled_from([64, 128, 512]))
+def test_parity_of_labelled_words_bounds_the_distance(a, b, bits):
+    h = N.mixed(np.arange(31, dtype=np.uint64) + np.uint64(5))
+    p, q = (N.parity(N.kmers(h[x].astype(np.uint64), 1), bits).view(np.uint8) for x in (a, b))
+    assert np.unpackbits(p ^ q).sum() <= 2 * levenshtein(a, b)
+
+
+def test_kmers_are_the_same_in_texts_with_and_without_repeats():
+    plain = N.hashed([b"%d" % i for i in range(60)])
+    repeated = np.concatenate((plain, plain[:10]))
+    for k in (1, N.SHORT_K, N.K):
+        assert set(N.kmers(plain, k).tolist()) < set(N.kmers(repeated, k).tolist())
+
+
 def test_sketch_keeps_order_and_counts_occurrences():
     a, b = N.hashed([b"a", b"b", b"c"] * 4), N.hashed([b"a", b"b", b"c"] * 5)
     assert len(set(N.kmers(a).tolist())) == len(N.kmers(a))
