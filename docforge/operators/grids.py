@@ -34,11 +34,18 @@ def edges(drawn: DataFrame, by: list[str], tolerance: float = TOLERANCE, least:
     Both are sessions in order of place, so that a line drawn in any number of strokes is one edge.
     """
     snapped = layout.sessions(drawn.withColumn("_end", F.col("at")), [*by, "across"], "at", "_end", F.lit(tolerance), ["at", "low", "high"])
-    at = F.round(F.avg("at").over(Window.partitionBy(*by, "across", "session")), 4)
-    line = snapped.withColumn("line", F.col("session")).withColumn("at", at).drop("session", "_end")
+    line = snapped.withColumnRenamed("session", "line").drop("_end")
     strokes = layout.sessions(line, [*by, "across", "line"], "low", "high", F.lit(tolerance), ["low", "high"])
-    joined = strokes.groupBy(*by, "across", "line", "session").agg(F.first("at").alias("at"), F.min("low").alias("low"), F.max("high").alias("high")).filter(F.col("high") - F.col("low") >= least)
-    return layout.numbered(joined, by, ["across", "line", "session"], "edge").select(*by, "across", "at", "low", "high", "edge")
+    joined = strokes.groupBy(*by, "across", "line", "session").agg(F.sum("at").alias("_sum"), F.count("*").alias("_n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # the mean of all strokes of a line, from its few edges, in the order in which they are numbered
+    whole = Window.partitionBy(*by, "across", "line").orderBy("session").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    set_ = joined.withColumn("at", F.round(F.sum("_sum").over(whole) / F.sum("_n").over(whole), 4)).filter(F.col("high") - F.col("low") >= least)
+    return layout.numbered(set_, by, ["across", "line", "session"], "edge").select(*by, "across", "at", "low", "high", "edge")
+
+
+def _along(by: list[str], edge: str) -> Window:
+    """Windows along an edge (h or v) from its end: all of them share one order, so that windows on one edge that follow each other sort once."""
+    return Window.partitionBy(*by, edge).orderBy(F.desc("x" if edge == "h" else "y"))
 
 
 def crossings(found: DataFrame, by: list[str], tolerance: float = TOLERANCE, rounds: int = 2) -> DataFrame:
@@ -47,30 +54,37 @@ def crossings(found: DataFrame, by: list[str], tolerance: float = TOLERANCE, rou
     An edge that meets fewer than two others bounds no cell and goes, and so do edges that then meet fewer, `rounds` times.
     """
     t, size = F.lit(tolerance), 128.0
-    level = g.box(F.col("low") - t, F.col("at") - t, F.col("high") + t, F.col("at") + t)
-    reach = F.when(F.col("across"), level).otherwise(g.box("at", "low", "at", "high"))
-    # the edges of a grid cell are few, as those on one line lie apart: gathered by page and cell, so that what is dealt by page stays where it is
-    own = F.struct("edge", "at", "low", "high", F.floor(F.col("reach.x0") / size).cast("int").alias("cx"), F.floor(F.col("reach.y0") / size).cast("int").alias("cy"))
-    near = found.withColumn("reach", reach).select(*by, "across", own.alias("e"), F.explode(g.cells(F.col("reach"), size)).alias("_k")).groupBy(*by, F.col("_k.x").alias("_kx"), F.col("_k.y").alias("_ky"))
-    side = lambda is_level: F.collect_list(F.when(F.col("across") == is_level, F.col("e")))
-    both = near.agg(side(True).alias("level"), side(False).alias("upright")).withColumn("a", F.explode("level")).withColumn("b", F.explode("upright"))
+    flat = g.box(F.col("low") - t, F.col("at") - t, F.col("high") + t, F.col("at") + t)
+    reach = F.when(F.col("across"), flat).otherwise(g.box("at", "low", "at", "high"))
+    # the edges of a grid cell are few, as those on one line lie apart: each upright one gets the level ones by a window, so that what is dealt by page stays where it is
+    cell = lambda c: F.floor(F.col(f"reach.{c}") / size).cast("int")
+    own = F.struct("edge", "at", "low", "high", cell("x0").alias("cx"), cell("y0").alias("cy"))
+    wide = found.withColumn("reach", reach).select(*by, "across", own.alias("e"), F.sequence(cell("y0"), cell("y1")).alias("_ys"), F.explode(F.sequence(cell("x0"), cell("x1"))).alias("_kx"))
+    near = wide.select(*by, "across", "e", "_kx", F.explode("_ys").alias("_ky"))
+    level = F.collect_list(F.when(F.col("across"), F.col("e"))).over(Window.partitionBy(*by, "_kx", "_ky"))
+    both = near.withColumn("level", level).filter("not across").select(*by, "_kx", "_ky", F.col("e").alias("b"), F.explode("level").alias("a"))
     a, b = F.col("a"), F.col("b")
     first = (F.col("_kx") == F.greatest(a["cx"], b["cx"])) & (F.col("_ky") == F.greatest(a["cy"], b["cy"]))  # of the cells that both touch
     on = b["at"].between(a["low"] - t, a["high"] + t) & (b["low"] <= a["at"] + t) & (b["high"] >= a["at"] - t)
     points = both.filter(first & on).select(*by, b["at"].alias("x"), a["at"].alias("y"), a["edge"].alias("h"), b["edge"].alias("v"))
+    whole = lambda e: _along(by, e).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ways = ["h", "v"]
     for _ in range(rounds):
-        n = lambda e: F.count("*").over(Window.partitionBy(*by, e))
-        points = points.withColumn("_h", n("h")).withColumn("_v", n("v")).filter("_h > 1 and _v > 1").drop("_h", "_v")
-    last = lambda e, c: F.col(c) == F.max(c).over(Window.partitionBy(*by, e))
-    return points.withColumn("last_x", last("h", "x")).withColumn("last_y", last("v", "y"))
+        for e in ways:
+            points = points.withColumn(f"_{e}", F.count("*").over(whole(e)))
+        points = points.filter("_h > 1 and _v > 1").drop("_h", "_v")
+        ways.reverse()  # the next begins with the order that this one ends with
+    for e in ways:
+        c = "x" if e == "h" else "y"
+        points = points.withColumn(f"last_{c}", F.col(c) == F.max(c).over(whole(e)))
+    return points
 
 
 def _corners(points: DataFrame, by: list[str]) -> DataFrame:
     """points with r (x, v) and d (y, h): the next crossing on the level edge that goes on downwards, and on the upright one that goes on to the right; null but for corners."""
-    right = Window.partitionBy(*by, "h").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)
-    below = Window.partitionBy(*by, "v").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
+    right, below = (_along(by, e).rowsBetween(Window.unboundedPreceding, -1) for e in ("h", "v"))
     near = lambda stops, what, w: F.when(~F.col("last_x") & ~F.col("last_y"), F.last(F.when(~F.col(stops), what), ignorenulls=True).over(w))
-    return points.withColumn("r", near("last_y", F.struct("x", "v"), right)).withColumn("d", near("last_x", F.struct("y", "h"), below))
+    return points.withColumn("d", near("last_x", F.struct("y", "h"), below)).withColumn("r", near("last_y", F.struct("x", "v"), right))
 
 
 def cells(points: DataFrame, by: list[str]) -> DataFrame:
@@ -132,14 +146,17 @@ def _plain(points: DataFrame, by: list[str]) -> DataFrame:
     met = _corners(points, by)
     # a crossing says where it lies under its own edges, a corner asks under those of the crossing across
     says, asks = F.struct("h", "v", F.lit(False).alias("asks")), F.when(F.col("r").isNotNull() & F.col("d").isNotNull(), F.struct(F.col("d.h").alias("h"), F.col("r.v").alias("v"), F.lit(True).alias("asks")))
-    each = met.select(*by, "x", "y", F.explode(F.array_compact(F.array(says, asks))).alias("k")).select(*by, "x", "y", "k.*")
+    each = met.select(*by, "x", "y", F.explode(F.array(says, asks)).alias("k")).filter("k is not null").select(*by, "x", "y", "k.*")
     at = Window.partitionBy(*by, "h", "v")
     there = lambda c: F.max(F.when(~F.col("asks"), F.col(c))).over(at)
     found = each.withColumn("x1", there("x")).withColumn("y1", there("y")).filter("asks").select(*by, F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
     c = layout.numbered(found, by, ["y0", "x0"], "table")
     for fixed, start, end, run in ((["y0", "y1"], "x0", "x1", "row_run"), (["x0", "x1"], "y0", "y1", "col_run")):
-        c = layout.sessions(c, [*by, *fixed], start, end, F.lit(0.0)).withColumnRenamed("session", run)
-        c = c.withColumn("table", F.min("table").over(Window.partitionBy(*by, *fixed, run)))
+        c = layout.sessions(c, [*by, *fixed], start, end, F.lit(0.0), [start, "table"]).withColumnRenamed("session", run)
+        # along a run numbers rise, so that the least is that of its first cell
+        w = Window.partitionBy(*by, *fixed).orderBy(start, "table")
+        first = F.when(F.coalesce(F.lag(run).over(w) != F.col(run), F.lit(True)), F.col("table"))
+        c = c.withColumn("_first", first).withColumn("_table", F.max("_first").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("table", "_first").withColumnRenamed("_table", "table")
     return c.withColumn("table", F.min("table").over(Window.partitionBy(*by, "y0", "y1", "row_run"))).drop("col_run")
 
 

@@ -14,8 +14,9 @@ from .base import query, table
 # ---- ruled tables: a page for each order, a row for each line item
 
 
-#: Line items of the pages that a task has at a time: what they draw takes some 15 KB an item in its sorts.
-ITEMS = 100_000
+#: Line items of the pages that a task has at a time. A task takes some seconds before its first row (its plan's code is compiled), so that few large ones
+#: are better; its sorts follow each other, so that they never hold all rows at once.
+ITEMS = 300_000
 
 
 def _drawings(spark, sf_dir) -> DataFrame:

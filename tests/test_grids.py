@@ -136,3 +136,11 @@ def test_no_task_draws_more_than_so_many_items(spark, monkeypatch):
 
     monkeypatch.setattr(extraction, "ITEMS", 60)
     assert extraction._drawings(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 90
+
+
+def test_windows_along_one_edge_share_a_sort(spark):
+    got = grids.table_cells(drawn(spark, [(1, "rect", 0, 0, 40, 30), (1, "rect", 40, 0, 80, 30)]).repartition(4, "page"), ["page"])
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # no lists by two-step aggregation, which sorts and writes them anew, and fewer sorts than windows
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    assert plan.count("Sort [") <= 17 < plan.count("Window ["), (plan.count("Sort ["), plan.count("Window ["))
